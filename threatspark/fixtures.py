@@ -17,7 +17,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from .sources.readers import read_parquet
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 # Key of the flows stand-in (unique at sf0.01 and sf0.1).

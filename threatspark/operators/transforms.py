@@ -102,9 +102,16 @@ class QuantileModel:
             seed=QUANTILE_SEED) -> "QuantileModel":
         """Exact linear percentiles over a repeatable sample of ``subsample`` rows
         (the smallest md5 keys; TakeOrdered keeps memory per task at ``subsample``)."""
-        sample = smallest_hash_sample(df, key_cols, seed, subsample) if subsample else df
-        state = quantile_state(sample, cols, n_quantiles)
-        return cls.from_state(state, cols)
+        if not subsample:
+            return cls.from_state(quantile_state(df, cols, n_quantiles), cols)
+        # the sample is bounded by ``subsample`` rows; cache it for the count
+        # and the percentile pass
+        sample = smallest_hash_sample(df, key_cols, seed, subsample).select(
+            *[q(c) for c in cols]).cache()
+        try:
+            return cls.from_state(quantile_state(sample, cols, n_quantiles), cols)
+        finally:
+            sample.unpersist()
 
     @classmethod
     def from_state(cls, state: DataFrame, cols: Sequence[str] | None = None) -> "QuantileModel":
@@ -137,34 +144,45 @@ class QuantileModel:
             raise
 
     # T4
+    def segments(self, spark: SparkSession, f: str, bucket: str) -> DataFrame:
+        """Segment table of one feature: bucket index b (k[b-1] <= x < k[b], as
+        the Bucketizer numbers it) -> (left knot, right knot, its references).
+        At most n_quantiles + 1 rows, so it is broadcast."""
+        k, lo, hi = self.knots[f], self.ref_lo[f], self.ref_hi[f]
+        rows = [(float(b), k[b - 1], k[b] if b < len(k) else None, lo[b - 1], hi[b - 1],
+                 lo[b] if b < len(k) else None) for b in range(1, len(k) + 1)]
+        return spark.createDataFrame(
+            rows, f"{bucket} double, _k double, _kn double, _lo double, _hi double, _lon double")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Uniform output in [0, 1]: <= min -> 0, >= max -> 1, a knot -> the
         middle of its reference range, between knots -> linear interpolation.
-        Nulls stay null."""
+        Nulls stay null. The knot interval of each value comes from a
+        Bucketizer (binary search in the JVM); its knots and references from a
+        broadcast join with the feature's segment table."""
         feats = [f for f in self.features if f in df.columns and self.knots.get(f)]
         if not feats:
             return df
+        spark = df.sparkSession
         bcols = {f: f"_qb{i}" for i, f in enumerate(feats)}
         buck = Bucketizer(
             splitsArray=[[-math.inf, *self.knots[f], math.inf] for f in feats],
             inputCols=feats, outputCols=[bcols[f] for f in feats], handleInvalid="keep")
         d = buck.transform(df)
-        out = {}
+        order = list(d.columns)
         for f in feats:
+            seg = self.segments(spark, f, bcols[f])
+            d = d.join(F.broadcast(seg), bcols[f], "left")
             x = q(f).cast("double")
-            k, lo, hi = (_double_array(self.knots[f]), _double_array(self.ref_lo[f]),
-                         _double_array(self.ref_hi[f]))
-            i = F.col(bcols[f]).cast("int")         # k[i] <= x < k[i+1], 1-based in arrays
-            ki, kn = F.try_element_at(k, i), F.try_element_at(k, i + 1)
-            loi, hii, lon = F.try_element_at(lo, i), F.try_element_at(hi, i), \
-                F.try_element_at(lo, i + 1)
             kmin, kmax = F.lit(self.knots[f][0]), F.lit(self.knots[f][-1])
-            out[f] = (F.when(x.isNull(), F.lit(None).cast("double"))
-                      .when(x <= kmin, F.lit(0.0))
-                      .when(x >= kmax, F.lit(1.0))
-                      .when(x == ki, (loi + hii) / 2)
-                      .otherwise(hii + (x - ki) / (kn - ki) * (lon - hii)))
-        return d.withColumns(out).drop(*bcols.values())
+            ki, kn, lo, hi, lon = (F.col(c) for c in ("_k", "_kn", "_lo", "_hi", "_lon"))
+            val = (F.when(x.isNull(), F.lit(None).cast("double"))
+                   .when(x <= kmin, F.lit(0.0))
+                   .when(x >= kmax, F.lit(1.0))
+                   .when(x == ki, (lo + hi) / 2)
+                   .otherwise(hi + (x - ki) / (kn - ki) * (lon - hi)))
+            d = d.withColumn(f, val).drop("_k", "_kn", "_lo", "_hi", "_lon")
+        return d.select(*[q(c) for c in order if c not in bcols.values()])
 
 
 def quantile_state(sample: DataFrame, cols: Sequence[str], n_quantiles: int = N_QUANTILES
