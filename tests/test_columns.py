@@ -1,0 +1,83 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from threatspark.functions import columns as C
+
+
+def test_drop_columns_ignores_absent(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, `Flow ID` int, c int")
+    assert C.drop_columns(df, ["Flow ID", "Timestamp"]).columns == ["a", "c"]
+
+
+def test_zero_columns_rules(spark):
+    df = spark.createDataFrame(
+        [(0.0, 0.0, 1.0, "0"), (0.0, None, 0.0, "0")],
+        "z double, zn double, nz double, t string")
+    # all zero -> dropped; one null keeps it; text never matches
+    assert C.zero_columns(df) == ["z"]
+    empty = df.where("false")
+    assert C.zero_columns(empty) == ["z", "zn", "nz"]
+
+
+def test_nan_is_not_zero(spark):
+    df = spark.createDataFrame([(0.0,), (float("nan"),)], "x double")
+    assert C.zero_columns(df) == []
+
+
+def test_drop_last_and_rename(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert C.drop_last(df, 2).columns == ["a", "b"]
+    assert C.rename(df, {"a": "x", "zz": "y"}).columns == ["x", "b", "c", "d"]
+
+
+def test_normalize_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "` a ` int, `b ` int")
+    assert C.normalize_columns(df, ["a"]).columns == ["a", "b"]
+    with pytest.raises(KeyError, match="Available columns"):
+        C.normalize_columns(df, ["Result_1"])
+    dup = spark.createDataFrame([(1, 2)], "`a ` int, ` a` int")
+    with pytest.raises(ValueError):
+        C.normalize_columns(dup)
+
+
+def test_to_numeric_strict_and_lenient(spark):
+    df = spark.createDataFrame([("1",), ("-1",), ("x",)], "v string")
+    assert [r[0] for r in C.to_numeric(df, strict=False).collect()] == [1.0, -1.0, None]
+    with pytest.raises(Exception):
+        C.to_numeric(df, strict=True).collect()
+
+
+def test_inf_to_null_and_drop_nulls(spark):
+    df = spark.createDataFrame([(1.0, 1), (math.inf, 2), (-math.inf, 3), (math.nan, 4)],
+                               "x double, k int")
+    out = C.inf_to_null(df)
+    assert [r[0] for r in out.orderBy("k").collect()] == [1.0, None, None, None]
+    assert C.drop_null_rows(out).count() == 1
+
+
+def test_decode_bytes(spark):
+    df = spark.createDataFrame([(bytearray(b"-1"), 1)], "b binary, k int")
+    assert C.decode_bytes(df).first()[0] == "-1"
+
+
+def test_constant_cast_and_xy(spark):
+    df = spark.createDataFrame([(1.5, 2.0, 1)], "a double, b double, y int")
+    df = C.with_constant(df, "Label", 1)
+    assert df.first()["Label"] == 1
+    cast = C.cast_columns(df, {"a": "float", "y": "bigint"})
+    assert dict(cast.dtypes)["a"] == "float" and dict(cast.dtypes)["y"] == "bigint"
+    xy = C.to_xy(df.drop("Label"), "y")
+    assert xy.columns == ["features", "y"] and list(xy.first()[0]) == [1.5, 2.0]
+
+
+def test_select_features_with_special_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "`Flow Bytes/s` double, `Down/Up Ratio` double")
+    assert C.select_features(df, ["Down/Up Ratio"]).columns == ["Down/Up Ratio"]
+
+
+def test_fixed_lists():
+    assert len(C.FLOW_FEATURES) == 36
+    assert len(C.REDUNDANT_FEATURES) == 25 and len(C.REDUNDANT_FEATURES_TRAINING) == 26
+    assert len(C.FLOW_IDENTIFIERS) == 7 and len(C.FLOW_IDENTIFIERS_SCORING) == 8

@@ -208,7 +208,8 @@ def q_flow_undersample(spark, sf):
 
 
 @query("flow_index_join", oracle(["flows"], f"""
-SELECT {KEY_SQL}, round(flow_bytes_s, 6) AS flow_bytes_s, traffic_type FROM sampled""",
+SELECT {KEY_SQL}, round(f.flow_bytes_s, 6) AS flow_bytes_s, l.traffic_type
+FROM sampled f JOIN sampled l USING ({KEY_SQL})""",
                                  FLOW_CLEAN_SQL + "," + UNDER_SQL))
 def q_flow_index_join(spark, sf):
     """The sampled features joined back to the sampled labels on the row key."""

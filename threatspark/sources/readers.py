@@ -103,6 +103,8 @@ def write_scores(df: DataFrame, path: str, cols: Sequence[str] = ("row_id", "p",
     df = df.withColumn("_bad", bad)
     df.where(~F.col("_bad")).select(*cols).write.mode("append").parquet(f"{path}/scores")
     err_cols = [c for c in ("row_id", "_corrupt_record") if c in df.columns]
+    if err_cols == ["_corrupt_record"]:
+        err_cols = df.columns
     df.where(F.col("_bad")).select(*err_cols).write.mode("append").parquet(f"{path}/errors")
 
 
