@@ -13,8 +13,9 @@ would put all rows in one task, so the rank is built in two levels:
    gives each bucket's offset;
 3. rank = bucket offset + ``row_number()`` inside (class, bucket).
 
-The big table is shuffled once, on (class, bucket); the window inside the
-bucket reuses that partitioning.
+The big table is shuffled once, on (class, bucket), for the window inside
+the bucket; the counts are a partial aggregate that moves one row per bucket
+and task.
 """
 
 from __future__ import annotations
@@ -38,21 +39,29 @@ def hash_key(seed, key_cols: Sequence[str]) -> Column:
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] = (),
               out: str = "rank", hex_digits: int = 4) -> DataFrame:
     """Dense 1-based rank of each row inside its ``by`` group, ordered by
-    (md5(seed, key), key). Exact, repeatable, and without a single-task window."""
+    (md5(seed, key), key). Exact, repeatable, and without a single-task window.
+
+    Plan: the rows are shuffled once, on (group, bucket), for the in-bucket
+    ``row_number``; the per-bucket counts are a separate partial aggregate on
+    the key columns only (its shuffle carries one row per bucket and task).
+    The rank side stays partitioned on the join keys, so joining the offsets
+    moves only the small offsets table (or broadcasts it, as AQE decides).
+    """
     by = list(by)
-    d = (df.withColumn(HASH, hash_key(seed, key_cols))
-           .withColumn(BUCKET, F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10)
-                       .cast("int")))
+    # md5 hex never makes conv() null; coalesce tells the optimizer so, which
+    # keeps it from inferring an is-not-null filter that would hash twice
+    bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("int"),
+                        F.lit(0))
+    d = df.withColumn(HASH, hash_key(seed, key_cols)).withColumn(BUCKET, bucket)
     counts = d.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, BUCKET,
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(OFFSET))
-    # The offsets table has at most |groups| x 16**hex_digits rows; the join
-    # strategy is left to AQE, which broadcasts it only when it is small.
-    d = d.join(offsets, on=[*by, BUCKET], how="inner")
     inner = Window.partitionBy(*by, BUCKET).orderBy(HASH, *[q(c) for c in key_cols])
-    return (d.withColumn(out, (F.col(OFFSET) + F.row_number().over(inner)).cast("bigint"))
-             .drop(HASH, BUCKET, OFFSET))
+    ranked = d.withColumn("_ts_rn", F.row_number().over(inner))
+    return (ranked.join(offsets, on=[*by, BUCKET], how="inner")
+                  .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
+                  .drop(HASH, BUCKET, OFFSET, "_ts_rn"))
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -68,20 +77,26 @@ def smallest_hash_sample(df: DataFrame, key_cols: Sequence[str], seed, n: int) -
               .drop(HASH))
 
 
-def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float = 0.85,
-                seed=10, out_rank: str | None = None) -> DataFrame:
-    """K1: two-class random undersampling to minority/majority = ``ratio``.
-
-    Keeps every minority row and ``floor(n_min / ratio)`` majority rows (the
-    smallest md5 keys). Raises when that exceeds the majority size.
-    """
-    counts = class_counts(df, label)
+def undersample_sizes(counts: dict, ratio: float) -> tuple:
+    """(minority class, its size, majority class, rows kept from it)."""
     if len(counts) != 2:
         raise ValueError(f"undersample needs exactly two classes, got {sorted(counts)}")
     (minor, n_min), (major, n_maj) = sorted(counts.items(), key=lambda kv: (kv[1], str(kv[0])))
     keep = math.floor(n_min / ratio)
     if keep > n_maj:
         raise ValueError(f"ratio {ratio} needs {keep} majority rows, only {n_maj} exist")
+    return minor, n_min, major, keep
+
+
+def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float = 0.85,
+                seed=10, counts: dict | None = None) -> DataFrame:
+    """K1: two-class random undersampling to minority/majority = ``ratio``.
+
+    Keeps every minority row and ``floor(n_min / ratio)`` majority rows (the
+    smallest md5 keys). Raises when that exceeds the majority size.
+    """
+    counts = class_counts(df, label) if counts is None else counts
+    minor, _, major, keep = undersample_sizes(counts, ratio)
     major_rows = df.where(q(label) == F.lit(major))
     ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank")
     kept = ranked.where(F.col("_ts_rank") <= keep).drop("_ts_rank")
@@ -99,9 +114,11 @@ def split_sizes(n: int, train: float | None = None, test: float | None = None) -
 
 
 def train_test(df: DataFrame, key_cols: Sequence[str], seed, train: float | None = None,
-               test: float | None = None, out: str = "is_train") -> DataFrame:
-    """K2/K3: shuffled, not stratified, exact-size split. Adds boolean ``out``."""
-    n = df.count()
+               test: float | None = None, out: str = "is_train", n: int | None = None
+               ) -> DataFrame:
+    """K2/K3: shuffled, not stratified, exact-size split. Adds boolean ``out``.
+    ``n`` (the row count) saves a counting pass when the caller knows it."""
+    n = df.count() if n is None else n
     n_train, _ = split_sizes(n, train, test)
     ranked = hash_rank(df, key_cols, seed, out="_ts_rank")
     return ranked.withColumn(out, F.col("_ts_rank") <= n_train).drop("_ts_rank")

@@ -99,17 +99,18 @@ class QuantileModel:
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
             n_quantiles: int = N_QUANTILES, subsample: int | None = QUANTILE_SUBSAMPLE,
-            seed=QUANTILE_SEED) -> "QuantileModel":
+            seed=QUANTILE_SEED, n_rows: int | None = None) -> "QuantileModel":
         """Exact linear percentiles over a repeatable sample of ``subsample`` rows
         (the smallest md5 keys; TakeOrdered keeps memory per task at ``subsample``)."""
         if not subsample:
-            return cls.from_state(quantile_state(df, cols, n_quantiles), cols)
+            return cls.from_state(quantile_state(df, cols, n_quantiles, n_rows), cols)
+        n_sample = None if n_rows is None else min(n_rows, subsample)
         # the sample is bounded by ``subsample`` rows; cache it for the count
         # and the percentile pass
         sample = smallest_hash_sample(df, key_cols, seed, subsample).select(
             *[q(c) for c in cols]).cache()
         try:
-            return cls.from_state(quantile_state(sample, cols, n_quantiles), cols)
+            return cls.from_state(quantile_state(sample, cols, n_quantiles, n_sample), cols)
         finally:
             sample.unpersist()
 
@@ -185,8 +186,8 @@ class QuantileModel:
         return d.select(*[q(c) for c in order if c not in bcols.values()])
 
 
-def quantile_state(sample: DataFrame, cols: Sequence[str], n_quantiles: int = N_QUANTILES
-                   ) -> DataFrame:
+def quantile_state(sample: DataFrame, cols: Sequence[str], n_quantiles: int = N_QUANTILES,
+                   n_rows: int | None = None) -> DataFrame:
     """Long-form knot table ``(feature, knot, ref_lo, ref_hi)``.
 
     Quantiles are linear-interpolated percentiles at evenly spaced references
@@ -194,7 +195,7 @@ def quantile_state(sample: DataFrame, cols: Sequence[str], n_quantiles: int = N_
     max, then grouped by value so each distinct knot keeps its lowest and
     highest reference.
     """
-    n_rows = sample.count()
+    n_rows = sample.count() if n_rows is None else n_rows
     nq = max(1, min(n_quantiles, n_rows))
     refs = quantile_refs(nq)
     arr = sample.agg(*[F.percentile(q(c).cast("double"), _double_array(refs)).alias(f"q{i}")

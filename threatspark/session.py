@@ -25,6 +25,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+# Local runs only: small advisory partitions keep every core busy after a
+# shuffle instead of AQE coalescing a small table into one task.
+LOCAL_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -33,7 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
-    for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
+    for k, v in {**DEFAULT_CONF, **LOCAL_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

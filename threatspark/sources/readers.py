@@ -15,16 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_parquet(spark: SparkSession, path: str, min_splits: int | None = None) -> DataFrame:
-    """Parquet scan. When the files yield fewer input splits than the
-    cluster's default parallelism (e.g. one small file with one row group),
-    the rows are spread round-robin once so per-row work (hashing, labels)
-    runs on every core. With many files this is a no-op."""
-    df = spark.read.parquet(path)
-    want = min_splits or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan; filters and column selection made later are pushed into
+    it by Catalyst (``PushedFilters`` / ``ReadSchema`` in ``explain``)."""
+    return spark.read.parquet(path)
 
 
 def read_flows(spark: SparkSession, path: str, schema: T.StructType | str | None = None
