@@ -89,3 +89,12 @@ def test_with_chunk(spark):
     df = spark.range(0, 25)
     got = {r[0]: r[1] for r in S.with_chunk(df, "id", 10).collect()}
     assert got[9] == 0 and got[10] == 1 and got[24] == 2
+
+
+def test_ordered_rank_matches_row_number(spark):
+    df = spark.range(0, 700).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 101).alias("t"),
+                                    F.col("id"))
+    got = S.ordered_rank(df, ["g"], ["t", "id"], [F.floor(F.col("t") / 10)], out="pos")
+    w = Window.partitionBy("g").orderBy("t", "id")
+    exp = df.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    assert _rows(got, "g", "id", "pos") == _rows(exp, "g", "id", "pos")

@@ -36,32 +36,48 @@ def hash_key(seed, key_cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[q(c).cast("string") for c in key_cols]))
 
 
+def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
+                 blocks: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """Dense 1-based position of each row inside its ``by`` group in the given
+    ``order``, computed in two levels so a hot group never sits in one task.
+
+    ``blocks`` are columns that are non-decreasing along ``order`` (a prefix
+    of it, a coarser version of it, a hash bucket when the order starts with
+    that hash, ...). Rows are counted per (group, block); a running sum over
+    that small table gives each block's offset; the position is the offset
+    plus ``row_number()`` inside (group, block). The rows are shuffled once,
+    on (group, block); only the counts (one row per block and task after
+    partial aggregation) move again.
+    """
+    by = list(by)
+    bnames = [f"_ts_b{i}" for i in range(len(blocks))]
+    d = df.withColumns({n: (q(b) if isinstance(b, str) else b) for n, b in zip(bnames, blocks)})
+    keys = [*by, *bnames]
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(OFFSET))
+    inner = Window.partitionBy(*keys).orderBy(*[q(o) if isinstance(o, str) else o for o in order])
+    ranked = d.withColumn("_ts_rn", F.row_number().over(inner))
+    # offsets: at most one row per (group, block); AQE broadcasts it when it
+    # is small, otherwise only the offsets side is shuffled (the ranked side
+    # is already partitioned on the join keys)
+    return (ranked.join(offsets, on=keys, how="inner")
+                  .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
+                  .drop(*bnames, OFFSET, "_ts_rn"))
+
+
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] = (),
               out: str = "rank", hex_digits: int = 4) -> DataFrame:
     """Dense 1-based rank of each row inside its ``by`` group, ordered by
-    (md5(seed, key), key). Exact, repeatable, and without a single-task window.
-
-    Plan: the rows are shuffled once, on (group, bucket), for the in-bucket
-    ``row_number``; the per-bucket counts are a separate partial aggregate on
-    the key columns only (its shuffle carries one row per bucket and task).
-    The rank side stays partitioned on the join keys, so joining the offsets
-    moves only the small offsets table (or broadcasts it, as AQE decides).
-    """
-    by = list(by)
+    (md5(seed, key), key): ``ordered_rank`` with the first ``hex_digits`` hex
+    characters of the hash as the block, so every group, however large its
+    share, is spread evenly over 16**hex_digits blocks."""
     # md5 hex never makes conv() null; coalesce tells the optimizer so, which
     # keeps it from inferring an is-not-null filter that would hash twice
     bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("int"),
                         F.lit(0))
-    d = df.withColumn(HASH, hash_key(seed, key_cols)).withColumn(BUCKET, bucket)
-    counts = d.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, BUCKET,
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(OFFSET))
-    inner = Window.partitionBy(*by, BUCKET).orderBy(HASH, *[q(c) for c in key_cols])
-    ranked = d.withColumn("_ts_rn", F.row_number().over(inner))
-    return (ranked.join(offsets, on=[*by, BUCKET], how="inner")
-                  .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
-                  .drop(HASH, BUCKET, OFFSET, "_ts_rn"))
+    d = df.withColumn(HASH, hash_key(seed, key_cols))
+    return ordered_rank(d, by, [HASH, *key_cols], [bucket], out=out).drop(HASH)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:

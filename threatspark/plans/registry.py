@@ -909,11 +909,14 @@ SELECT o_custkey, CAST(last AS BIGINT) AS best_epoch, CAST(epoch AS BIGINT) AS s
        early AS stopped_early FROM e WHERE epoch = se"""))
 def q_early_stop(spark, sf):
     """W1 per customer: each customer's order totals in date order are the
-    'validation loss' series; patience 3."""
+    'validation loss' series; patience 3. Epochs are dense positions from the
+    two-level ``ordered_rank`` (blocks: order date, then order-key range), so
+    a customer with a huge share of the orders is still spread over tasks."""
     o = fx.table(spark, sf, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    h = o.select("o_custkey", F.row_number().over(w).alias("epoch"),
-                 F.col("o_totalprice").alias("val_loss"))
+    h = S.ordered_rank(o, ["o_custkey"], ["o_orderdate", "o_orderkey"],
+                       [F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 1_000_000)],
+                       out="epoch")
+    h = h.select("o_custkey", "epoch", F.col("o_totalprice").alias("val_loss"))
     return M.early_stop(h, patience=3, by=["o_custkey"])
 
 
