@@ -53,3 +53,35 @@ def test_running_counts_complete(spark, scratch):
     q.awaitTermination()
     got = {r[0]: r[1] for r in spark.sql("SELECT * FROM pc_test").collect()}
     assert got == _expected(0, 400)
+
+
+def test_scoring_stream(spark, scratch):
+    from pyspark.sql import types as T
+    from threatspark.operators import models as MD
+    from threatspark.operators.transforms import QuantileModel
+    from threatspark.plans.flow import FlowState
+    from threatspark.streaming.scoring import run_scoring_stream
+    train = spark.range(0, 200).select(F.col("id").alias("row_id"),
+                                       (F.col("id") % 10).cast("double").alias("Flow Bytes/s"),
+                                       (F.col("id") % 7).cast("double").alias("Flow IAT Min"),
+                                       ((F.col("id") % 10) > 4).cast("double").alias("y"))
+    feats = ["Flow Bytes/s", "Flow IAT Min"]
+    qm = QuantileModel.fit(train, feats, ["row_id"], n_quantiles=50, subsample=None)
+    state = FlowState(features=feats, quantiles=qm)
+    model = MD.flow_classifier(feats, "y", kind="logistic", max_iter=20).fit(qm.transform(train))
+    src = f"{scratch}/req"
+    os.makedirs(src)
+    with open(f"{src}/a.json", "w") as f:
+        for i in range(20):
+            f.write(json.dumps({"row_id": i, "Flow ID": "x", "Flow Bytes/s": i % 10,
+                                "Flow IAT Min": i % 7, "Label": "BENIGN"}) + "\n")
+        f.write("{not json\n")
+    schema = T.StructType.fromJson({"type": "struct", "fields": [
+        {"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in
+        [("row_id", "long"), ("Flow ID", "string"), ("Flow Bytes/s", "double"),
+         ("Flow IAT Min", "double"), ("Label", "string")]]})
+    q = run_scoring_stream(spark, src, f"{scratch}/out", f"{scratch}/ck", schema, state, model)
+    q.awaitTermination()
+    scores = spark.read.parquet(f"{scratch}/out/scores")
+    assert scores.count() == 20 and scores.where("p IS NULL").count() == 0
+    assert spark.read.parquet(f"{scratch}/out/errors").count() == 1

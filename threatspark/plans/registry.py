@@ -493,11 +493,14 @@ prop AS (SELECT e2.dst AS node_id, hl.j, sum(hl.x / sqrt(ds.d * dd.d)) AS x
 
 def path_edges(nodes: DataFrame) -> DataFrame:
     """A sparse graph derived from the node table: each node linked to its
-    neighbours by id inside the same chunk (both directions)."""
-    a = nodes.select("node_id", "chunk_id")
-    b = a.select(F.col("node_id").alias("dst"), "chunk_id")
-    e = a.join(b, "chunk_id").where(F.abs(F.col("dst") - F.col("node_id")) == 1)
-    return e.select(F.col("node_id").alias("src"), "dst")
+    neighbours by id inside the same chunk (both directions). Built as an
+    equi-join on the neighbour id (at most two candidates per node), never
+    by pairing all nodes of a chunk."""
+    a = nodes.select(F.col("node_id").alias("src"), F.col("chunk_id").alias("c"))
+    b = nodes.select(F.col("node_id").alias("dst"), F.col("chunk_id").alias("c"))
+    cand = a.select("src", "c", F.explode(F.array(F.col("src") - 1, F.col("src") + 1))
+                    .alias("dst"))
+    return cand.join(b, ["dst", "c"]).select("src", "dst")
 
 
 @query("graph_propagate", oracle(["nodes"], """
