@@ -49,7 +49,6 @@ def test_no_python_in_flow_preparation(spark):
                                     drop_low_importance=["rare_zero"])
     plan = _plan(prepared)
     assert _no_python_eval(plan)
-    assert "[codegen id" in plan
     scored = score_prepare(fx.flows(spark, SF001), state, label="label", keep=fx.FLOW_KEY,
                            identifiers=["flow_ts"], redundant=["rare_zero"])
     assert _no_python_eval(_plan(scored))
