@@ -183,6 +183,34 @@ def q_flow_cast(spark, sf):
     return d.select(*KEY, r6(F.col("flow_iat_mean").cast("double")).alias("flow_iat_mean"), "port")
 
 
+@query("flow_drop_last", oracle(["flows"], f"""
+SELECT {KEY_SQL}, fwd_packet_length_max, flow_bytes_s, flow_iat_mean, flow_iat_min,
+       bwd_urg_flags FROM flows"""))
+def q_flow_drop_last(spark, sf):
+    """P5: all but the last two columns (rare_zero, label); the timestamp is
+    left out of the compared output."""
+    return C.drop_last(fx.flows(spark, sf), 2).drop("flow_ts")
+
+
+@query("flow_inf_to_null", oracle(["flows"], f"""
+SELECT {KEY_SQL}, CASE WHEN flow_iat_mean = 0 THEN NULL
+                       ELSE round(flow_bytes_s / flow_iat_mean, 6) END AS bytes_per_iat,
+       count(*) OVER (PARTITION BY (flow_iat_mean = 0)) AS n_same
+FROM flows"""))
+def q_flow_inf_to_null(spark, sf):
+    """A ratio that is +inf where the denominator is 0 counts as missing."""
+    d = fx.flows(spark, sf).select(
+        *KEY, "flow_iat_mean",
+        F.when(F.col("flow_iat_mean") == 0, F.lit(float("inf")))
+         .otherwise(F.col("flow_bytes_s") / F.col("flow_iat_mean")).alias("bytes_per_iat"))
+    d = C.inf_to_null(d)
+    n = d.groupBy((F.col("flow_iat_mean") == 0).alias("_z")).agg(F.count(F.lit(1)).alias("n_same"))
+    # n has two rows (zero / non-zero): broadcast, so the 2-valued key never
+    # funnels the table into two tasks
+    return d.join(F.broadcast(n), (F.col("flow_iat_mean") == 0) == F.col("_z")).select(
+        *KEY, r6("bytes_per_iat").alias("bytes_per_iat"), "n_same")
+
+
 # ---------------------------------------------------------------- flows: sampling
 
 UNDER_SQL = f"""
@@ -432,6 +460,33 @@ def q_malware_minmax(spark, sf):
     return d.select("event_id", *[r6(c).alias(c) for c in MAL_COLS + ["Label"]])
 
 
+MAL_NODE_SQL = f"""
+mm AS (SELECT event_id, {', '.join(
+    f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN NULL ELSE "
+    f"(coalesce({c}, avg({c}) OVER ()) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) "
+    f"END AS {c}" for c in MAL_COLS + ['Label'])} FROM mal),
+gn AS (SELECT event_id AS node_id, CAST(floor(event_id / 50) AS BIGINT) AS chunk_id,
+              CAST(Label AS BIGINT) AS label, tot_bytes, pkt_rate FROM mm),
+gm AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY
+              md5(concat_ws(':', '0', node_id)), node_id)
+              <= floor(count(*) OVER (PARTITION BY chunk_id) * 0.8) AS is_train FROM gn)"""
+
+
+@query("malware_graph_nodes", oracle(["malware_attack", "malware_normal"], """
+SELECT node_id, chunk_id, label, is_train,
+       round(CAST(CAST(tot_bytes AS FLOAT) AS DOUBLE), 5) AS f0,
+       round(CAST(CAST(pkt_rate AS FLOAT) AS DOUBLE), 5) AS f1 FROM gm""",
+    MAL_UNION_SQL + "," + MAL_NODE_SQL))
+def q_malware_graph_nodes(spark, sf):
+    """M14 on the normalised malware table: selected features as float32
+    arrays, chunks of 50 consecutive ids, per-chunk train masks."""
+    norm = MW.normalise(malware_union(spark, sf), exclude=["event_id"])
+    g = MW.graph_nodes(norm, ["tot_bytes", "pkt_rate"], "event_id", chunk=50)
+    return g.select("node_id", "chunk_id", "label", "is_train",
+                    F.round(F.col("features")[0].cast("double"), 5).alias("f0"),
+                    F.round(F.col("features")[1].cast("double"), 5).alias("f1"))
+
+
 # ---------------------------------------------------------------- graph
 
 NODE_F = 64
@@ -913,11 +968,11 @@ SELECT o_custkey, CAST(last AS BIGINT) AS best_epoch, CAST(epoch AS BIGINT) AS s
 def q_early_stop(spark, sf):
     """W1 per customer: each customer's order totals in date order are the
     'validation loss' series; patience 3. Epochs are dense positions from the
-    two-level ``ordered_rank`` (blocks: order date, then order-key range), so
+    two-level ``ordered_rank`` (blocks: order year, then order-key range), so
     a customer with a huge share of the orders is still spread over tasks."""
     o = fx.table(spark, sf, "orders")
     h = S.ordered_rank(o, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-                       [F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 1_000_000)],
+                       [F.year("o_orderdate"), F.floor(F.col("o_orderkey") / 1_000_000)],
                        out="epoch")
     h = h.select("o_custkey", "epoch", F.col("o_totalprice").alias("val_loss"))
     return M.early_stop(h, patience=3, by=["o_custkey"])
