@@ -148,12 +148,18 @@ class QuantileModel:
     def segments(self, spark: SparkSession, f: str, bucket: str) -> DataFrame:
         """Segment table of one feature: bucket index b (k[b-1] <= x < k[b], as
         the Bucketizer numbers it) -> (left knot, right knot, its references).
-        At most n_quantiles + 1 rows, so it is broadcast."""
-        k, lo, hi = self.knots[f], self.ref_lo[f], self.ref_hi[f]
-        rows = [(float(b), k[b - 1], k[b] if b < len(k) else None, lo[b - 1], hi[b - 1],
-                 lo[b] if b < len(k) else None) for b in range(1, len(k) + 1)]
-        return spark.createDataFrame(
-            rows, f"{bucket} double, _k double, _kn double, _lo double, _hi double, _lon double")
+        At most n_quantiles + 1 rows, generated in the JVM from ``range`` and
+        the knot arrays (evaluated once per segment, not per data row), so it
+        is broadcast."""
+        m = len(self.knots[f])
+        k, lo, hi = (_double_array(self.knots[f]), _double_array(self.ref_lo[f]),
+                     _double_array(self.ref_hi[f]))
+        b = F.col("id").cast("int")
+        return spark.range(1, m + 1).select(
+            F.col("id").cast("double").alias(bucket),
+            F.element_at(k, b).alias("_k"), F.try_element_at(k, b + 1).alias("_kn"),
+            F.element_at(lo, b).alias("_lo"), F.element_at(hi, b).alias("_hi"),
+            F.try_element_at(lo, b + 1).alias("_lon"))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Uniform output in [0, 1]: <= min -> 0, >= max -> 1, a knot -> the
