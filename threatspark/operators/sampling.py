@@ -67,16 +67,19 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
 
 
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] = (),
-              out: str = "rank", hex_digits: int = 4) -> DataFrame:
+              out: str = "rank", hex_digits: int = 4, hash_col: str | None = None
+              ) -> DataFrame:
     """Dense 1-based rank of each row inside its ``by`` group, ordered by
     (md5(seed, key), key): ``ordered_rank`` with the first ``hex_digits`` hex
     characters of the hash as the block, so every group, however large its
-    share, is spread evenly over 16**hex_digits blocks."""
+    share, is spread evenly over 16**hex_digits blocks. ``hash_col`` names a
+    column that already holds ``hash_key(seed, key_cols)`` (computed once,
+    reused by several steps)."""
     # md5 hex never makes conv() null; coalesce tells the optimizer so, which
     # keeps it from inferring an is-not-null filter that would hash twice
     bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("int"),
                         F.lit(0))
-    d = df.withColumn(HASH, hash_key(seed, key_cols))
+    d = df.withColumn(HASH, F.col(hash_col) if hash_col else hash_key(seed, key_cols))
     return ordered_rank(d, by, [HASH, *key_cols], [bucket], out=out).drop(HASH)
 
 
@@ -85,10 +88,11 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
 
 
-def smallest_hash_sample(df: DataFrame, key_cols: Sequence[str], seed, n: int) -> DataFrame:
+def smallest_hash_sample(df: DataFrame, key_cols: Sequence[str], seed, n: int,
+                         hash_col: str | None = None) -> DataFrame:
     """The ``n`` rows with the smallest md5 key. Planned as TakeOrdered: each
     task keeps at most ``n`` rows, so memory is bounded by ``n`` not the table."""
-    h = hash_key(seed, key_cols)
+    h = F.col(hash_col) if hash_col else hash_key(seed, key_cols)
     return (df.withColumn(HASH, h).orderBy(HASH, *[q(c) for c in key_cols]).limit(n)
               .drop(HASH))
 
@@ -105,7 +109,8 @@ def undersample_sizes(counts: dict, ratio: float) -> tuple:
 
 
 def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float = 0.85,
-                seed=10, counts: dict | None = None) -> DataFrame:
+                seed=10, counts: dict | None = None, hash_col: str | None = None
+                ) -> DataFrame:
     """K1: two-class random undersampling to minority/majority = ``ratio``.
 
     Keeps every minority row and ``floor(n_min / ratio)`` majority rows (the
@@ -114,7 +119,7 @@ def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float
     counts = class_counts(df, label) if counts is None else counts
     minor, _, major, keep = undersample_sizes(counts, ratio)
     major_rows = df.where(q(label) == F.lit(major))
-    ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank")
+    ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank", hash_col=hash_col)
     kept = ranked.where(F.col("_ts_rank") <= keep).drop("_ts_rank")
     return df.where(q(label) == F.lit(minor)).unionByName(kept)
 
@@ -130,13 +135,13 @@ def split_sizes(n: int, train: float | None = None, test: float | None = None) -
 
 
 def train_test(df: DataFrame, key_cols: Sequence[str], seed, train: float | None = None,
-               test: float | None = None, out: str = "is_train", n: int | None = None
-               ) -> DataFrame:
+               test: float | None = None, out: str = "is_train", n: int | None = None,
+               hash_col: str | None = None) -> DataFrame:
     """K2/K3: shuffled, not stratified, exact-size split. Adds boolean ``out``.
     ``n`` (the row count) saves a counting pass when the caller knows it."""
     n = df.count() if n is None else n
     n_train, _ = split_sizes(n, train, test)
-    ranked = hash_rank(df, key_cols, seed, out="_ts_rank")
+    ranked = hash_rank(df, key_cols, seed, out="_ts_rank", hash_col=hash_col)
     return ranked.withColumn(out, F.col("_ts_rank") <= n_train).drop("_ts_rank")
 
 

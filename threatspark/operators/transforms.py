@@ -99,7 +99,8 @@ class QuantileModel:
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
             n_quantiles: int = N_QUANTILES, subsample: int | None = QUANTILE_SUBSAMPLE,
-            seed=QUANTILE_SEED, n_rows: int | None = None) -> "QuantileModel":
+            seed=QUANTILE_SEED, n_rows: int | None = None, hash_col: str | None = None
+            ) -> "QuantileModel":
         """Exact linear percentiles over a repeatable sample of ``subsample`` rows
         (the smallest md5 keys; TakeOrdered keeps memory per task at ``subsample``)."""
         if not subsample:
@@ -107,7 +108,7 @@ class QuantileModel:
         n_sample = None if n_rows is None else min(n_rows, subsample)
         # the sample is bounded by ``subsample`` rows; cache it for the count
         # and the percentile pass
-        sample = smallest_hash_sample(df, key_cols, seed, subsample).select(
+        sample = smallest_hash_sample(df, key_cols, seed, subsample, hash_col).select(
             *[q(c) for c in cols]).cache()
         try:
             return cls.from_state(quantile_state(sample, cols, n_quantiles, n_sample), cols)
