@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph as G
@@ -43,3 +44,32 @@ def graph_nodes(norm: DataFrame, features: Sequence[str], row_id: str, label: st
                 chunk: int = G.CHUNK_ROWS) -> DataFrame:
     """Node table with chunk ids and per-chunk masks."""
     return G.build_graph(norm, features, row_id, label, chunk)
+
+
+def run_malware_preprocess(spark, attack_path: str, normal_path: str, out_dir: str,
+                           key: str = "row_id", seed=42) -> list[str]:
+    """The malware preprocessing script end to end: both class files (S3),
+    label + union (P18, U1), mean imputation + min-max in one pass (T1, T2),
+    forest importance on the 80 % part, keep > 0.01 (M2, M3), then the
+    important features (S7) and the normalised table (S8) are written."""
+    from ..sources.readers import read_two_class, write_csv
+    from .flow import with_row_id
+    attack, normal = read_two_class(spark, attack_path, normal_path)
+    df = with_row_id(union_labelled(attack, normal), key)
+    norm = normalise(df, exclude=[key])
+    norm = norm.checkpoint(eager=True)       # reused by the ranking and the writes
+    imp = rank_features(norm.na.fill(0.0), [key], seed=seed)
+    imp.coalesce(1).write.mode("overwrite").option("header", True) \
+       .csv(f"{out_dir}/important_features")
+    write_csv(norm, f"{out_dir}/processed_data")
+    return [r[0] for r in imp.orderBy(F.col("Importance").desc(), "Feature").collect()]
+
+
+def run_graph_build(spark, processed: DataFrame, features: Sequence[str], out: str,
+                    row_id: str = "row_id", label: str = LABEL,
+                    chunk: int = G.CHUNK_ROWS) -> DataFrame:
+    """The graph script: node table with chunk ids and masks (M14) written as
+    parquet; the chunks' complete graphs stay implicit (see graph module)."""
+    nodes = graph_nodes(processed, features, row_id, label, chunk)
+    nodes.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
