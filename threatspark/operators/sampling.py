@@ -58,9 +58,12 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(OFFSET))
     inner = Window.partitionBy(*keys).orderBy(*[q(o) if isinstance(o, str) else o for o in order])
     ranked = d.withColumn("_ts_rn", F.row_number().over(inner))
-    # offsets: at most one row per (group, block); AQE broadcasts it when it
-    # is small, otherwise only the offsets side is shuffled (the ranked side
-    # is already partitioned on the join keys)
+    # offsets: at most one row per (group, block). Its window leaves it
+    # partitioned by the group alone, which would also satisfy the join and
+    # pull a hot group into one task; repartitioning the small side on all
+    # join keys keeps the ranked side's (group, block) spread. AQE may still
+    # broadcast it when it is small at run time.
+    offsets = offsets.repartition(*keys)
     return (ranked.join(offsets, on=keys, how="inner")
                   .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
                   .drop(*bnames, OFFSET, "_ts_rn"))
