@@ -36,8 +36,13 @@ def hash_key(seed, key_cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[q(c).cast("string") for c in key_cols]))
 
 
+# Largest offsets table broadcast on a proven bound (rows).
+BROADCAST_MAX_ROWS = 1 << 20
+
+
 def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
-                 blocks: Sequence[Column | str], out: str = "rank") -> DataFrame:
+                 blocks: Sequence[Column | str], out: str = "rank",
+                 max_blocks: int | None = None) -> DataFrame:
     """Dense 1-based position of each row inside its ``by`` group in the given
     ``order``, computed in two levels so a hot group never sits in one task.
 
@@ -47,7 +52,8 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     that small table gives each block's offset; the position is the offset
     plus ``row_number()`` inside (group, block). The rows are shuffled once,
     on (group, block); only the counts (one row per block and task after
-    partial aggregation) move again.
+    partial aggregation) move again. ``max_blocks`` is a proven upper bound
+    on the number of (group, block) pairs, when the caller has one.
     """
     by = list(by)
     bnames = [f"_ts_b{i}" for i in range(len(blocks))]
@@ -63,7 +69,10 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     # pull a hot group into one task; repartitioning the small side on all
     # join keys keeps the ranked side's (group, block) spread. AQE may still
     # broadcast it when it is small at run time.
-    offsets = offsets.repartition(*keys)
+    if max_blocks is not None and max_blocks <= BROADCAST_MAX_ROWS:
+        offsets = F.broadcast(offsets)          # bounded: at most max_blocks rows
+    else:
+        offsets = offsets.repartition(*keys)
     return (ranked.join(offsets, on=keys, how="inner")
                   .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
                   .drop(*bnames, OFFSET, "_ts_rn"))
@@ -83,7 +92,9 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] =
     bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("int"),
                         F.lit(0))
     d = df.withColumn(HASH, F.col(hash_col) if hash_col else hash_key(seed, key_cols))
-    return ordered_rank(d, by, [HASH, *key_cols], [bucket], out=out).drop(HASH)
+    bound = 16 ** hex_digits if not by else None     # one row per bucket
+    return ordered_rank(d, by, [HASH, *key_cols], [bucket], out=out,
+                        max_blocks=bound).drop(HASH)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
