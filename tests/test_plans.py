@@ -3,7 +3,6 @@ stay in whole-stage codegen (no Python)."""
 import io
 from contextlib import redirect_stdout
 
-from pyspark.sql import functions as F
 
 from threatspark.functions import labels as L
 from threatspark.plans.flow import prepare_flows, score_prepare
