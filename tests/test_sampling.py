@@ -98,3 +98,14 @@ def test_ordered_rank_matches_row_number(spark):
     w = Window.partitionBy("g").orderBy("t", "id")
     exp = df.withColumn("pos", F.row_number().over(w).cast("bigint"))
     assert _rows(got, "g", "id", "pos") == _rows(exp, "g", "id", "pos")
+
+
+def test_smallest_hash_sample_retry_is_exact(spark):
+    df = spark.range(0, 500)
+    exp = {r[0] for r in S.hash_rank(df, ["id"], 4).where("rank <= 37").select("id").collect()}
+    # an overstated row count makes the first threshold far too tight
+    got = S.smallest_hash_sample(df, ["id"], 4, 37, n_rows=50_000)
+    assert {r[0] for r in got.collect()} == exp
+    got.unpersist()
+    small = S.smallest_hash_sample(spark.range(0, 5), ["id"], 4, 37)
+    assert small.count() == 5

@@ -103,12 +103,34 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 
 def smallest_hash_sample(df: DataFrame, key_cols: Sequence[str], seed, n: int,
-                         hash_col: str | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest md5 key. Planned as TakeOrdered: each
-    task keeps at most ``n`` rows, so memory is bounded by ``n`` not the table."""
+                         hash_col: str | None = None, n_rows: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest md5 key, exactly, with bounded work
+    after the scan.
+
+    A plain ``orderBy(hash).limit(n)`` keeps n rows per task and then sends
+    n x (number of tasks) rows to ONE task, which grows with the table. Here
+    rows are first filtered on the first 60 bits of the hash against a
+    threshold that admits about 1.2 n + 50 rows of the ``n_rows`` in
+    expectation (hashes are uniform); the exact n smallest are then taken
+    from those few candidates. If fewer than n candidates pass (a many-sigma
+    event) the threshold doubles and the step repeats, so the result is
+    always exact. The returned sample (n rows) is cached; unpersist it when
+    done.
+    """
     h = F.col(hash_col) if hash_col else hash_key(seed, key_cols)
-    return (df.withColumn(HASH, h).orderBy(HASH, *[q(c) for c in key_cols]).limit(n)
-              .drop(HASH))
+    d = df.withColumn(HASH, h)
+    total = df.count() if n_rows is None else n_rows
+    want = min(n, total)
+    frac = min(1.0, (1.2 * n + 50) / max(total, 1))
+    prefix = F.conv(F.substring(F.col(HASH), 1, 15), 16, 10).cast("long")   # 60 bits
+    while True:
+        cand = d if frac >= 1.0 else d.where(prefix < F.lit(int(frac * 16 ** 15)))
+        sample = (cand.orderBy(HASH, *[q(c) for c in key_cols]).limit(n).drop(HASH)
+                  .cache())
+        if sample.count() >= want or frac >= 1.0:
+            return sample
+        sample.unpersist()
+        frac = min(1.0, frac * 2)
 
 
 def undersample_sizes(counts: dict, ratio: float) -> tuple:

@@ -105,13 +105,11 @@ class QuantileModel:
         (the smallest md5 keys; TakeOrdered keeps memory per task at ``subsample``)."""
         if not subsample:
             return cls.from_state(quantile_state(df, cols, n_quantiles, n_rows), cols)
-        n_sample = None if n_rows is None else min(n_rows, subsample)
-        # the sample is bounded by ``subsample`` rows; cache it for the count
-        # and the percentile pass
-        sample = smallest_hash_sample(df, key_cols, seed, subsample, hash_col).select(
-            *[q(c) for c in cols]).cache()
+        # the sample is bounded by ``subsample`` rows and comes back cached
+        sample = smallest_hash_sample(df, key_cols, seed, subsample, hash_col, n_rows)
         try:
-            return cls.from_state(quantile_state(sample, cols, n_quantiles, n_sample), cols)
+            return cls.from_state(quantile_state(sample.select(*[q(c) for c in cols]), cols,
+                                                 n_quantiles), cols)
         finally:
             sample.unpersist()
 
