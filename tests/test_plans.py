@@ -4,6 +4,8 @@ import io
 from contextlib import redirect_stdout
 
 
+from pyspark.sql import functions as F
+
 from threatspark.functions import labels as L
 from threatspark.plans.flow import prepare_flows, score_prepare
 from threatspark import fixtures as fx
@@ -51,3 +53,16 @@ def test_no_python_in_flow_preparation(spark):
     scored = score_prepare(fx.flows(spark, SF001), state, label="label", keep=fx.FLOW_KEY,
                            identifiers=["flow_ts"], redundant=["rare_zero"])
     assert _no_python_eval(_plan(scored))
+
+
+def test_quantile_fit_on_train_only(spark):
+    fl = fx.flows(spark, SF001)
+    kw = dict(label="label", identifiers=["flow_ts"], redundant=[],
+              drop_low_importance=["rare_zero"], checkpoint=False)
+    _, all_state = prepare_flows(fl, fx.FLOW_KEY, **kw)
+    prepared, tr_state = prepare_flows(fl, fx.FLOW_KEY, fit_on="train", **kw)
+    f = "flow_bytes_s"
+    assert tr_state.quantiles.knots[f] != all_state.quantiles.knots[f]
+    # fitted on train rows only: the train part of the feature is uniform-ish
+    lo, hi = prepared.where("is_train").agg(F.min(f), F.max(f)).first()
+    assert lo == 0.0 and hi == 1.0
