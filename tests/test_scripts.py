@@ -52,3 +52,16 @@ def test_phishing_scripts(spark):
     cvm, report, acc = PH.train_model(ph.drop("doc_id"), ["URL_Length", "Request_URL"],
                                       grid=grid, n_iter=1, folds=2)
     assert 0.0 <= acc <= 1.0 and report.where("class = 'accuracy'").count() == 1
+
+
+def test_malware_fit_on_train(spark, scratch):
+    fx.malware_attack(spark, SF001).drop("event_id").write.option("header", True) \
+        .csv(f"{scratch}/attack")
+    fx.malware_normal(spark, SF001).drop("event_id").write.option("header", True) \
+        .csv(f"{scratch}/normal")
+    MW.run_malware_preprocess(spark, f"{scratch}/attack", f"{scratch}/normal",
+                              f"{scratch}/out", fit_on="train")
+    processed = spark.read.option("header", True).option("inferSchema", True) \
+                     .csv(f"{scratch}/out/processed_data")
+    assert processed.count() == fx.malware_attack(spark, SF001).count() + \
+        fx.malware_normal(spark, SF001).count()

@@ -23,11 +23,13 @@ def union_labelled(attack: DataFrame, normal: DataFrame, label: str = LABEL) ->
         C.with_constant(normal, label, 0), allowMissingColumns=True)
 
 
-def normalise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+def normalise(df: DataFrame, exclude: Sequence[str] = (), fit_rows: DataFrame | None = None
+              ) -> DataFrame:
     """T1 + T2 in one pass: mean imputation then min-max of every numeric
-    column, the label included (0/1 stays 0/1)."""
+    column, the label included (0/1 stays 0/1). The statistics come from all
+    rows (as in the reference) or from ``fit_rows`` (e.g. the training part)."""
     cols = C.numeric_columns(df, exclude)
-    return apply_impute_minmax(df, fit_impute_minmax(df, cols))
+    return apply_impute_minmax(df, fit_impute_minmax(df if fit_rows is None else fit_rows, cols))
 
 
 def rank_features(norm: DataFrame, key_cols: Sequence[str], label: str = LABEL,
@@ -47,16 +49,23 @@ def graph_nodes(norm: DataFrame, features: Sequence[str], row_id: str, label: st
 
 
 def run_malware_preprocess(spark, attack_path: str, normal_path: str, out_dir: str,
-                           key: str = "row_id", seed=42) -> list[str]:
+                           key: str = "row_id", seed=42, fit_on: str = "all") -> list[str]:
     """The malware preprocessing script end to end: both class files (S3),
-    label + union (P18, U1), mean imputation + min-max in one pass (T1, T2),
+    label + union (P18, U1), mean imputation + min-max in one pass (T1, T2;
+    ``fit_on='train'`` takes the statistics from the training part only),
     forest importance on the 80 % part, keep > 0.01 (M2, M3), then the
     important features (S7) and the normalised table (S8) are written."""
     from ..sources.readers import read_two_class, write_csv
     from .flow import with_row_id
     attack, normal = read_two_class(spark, attack_path, normal_path)
     df = with_row_id(union_labelled(attack, normal), key)
-    norm = normalise(df, exclude=[key])
+    if fit_on == "train":      # statistics from the 80 % part the ranking trains on
+        fit_rows = S.train_test(df, [key], seed, test=0.2).where("is_train").drop("is_train")
+    elif fit_on == "all":
+        fit_rows = None
+    else:
+        raise ValueError(f"fit_on must be 'all' or 'train', got {fit_on!r}")
+    norm = normalise(df, exclude=[key], fit_rows=fit_rows)
     norm = norm.checkpoint(eager=True)       # reused by the ranking and the writes
     imp = rank_features(norm.na.fill(0.0), [key], seed=seed)
     imp.coalesce(1).write.mode("overwrite").option("header", True) \
