@@ -109,3 +109,11 @@ def test_smallest_hash_sample_retry_is_exact(spark):
     got.unpersist()
     small = S.smallest_hash_sample(spark.range(0, 5), ["id"], 4, 37)
     assert small.count() == 5
+
+
+def test_rank_with_more_hex_digits(spark):
+    df = spark.range(0, 300)
+    a = _rows(S.hash_rank(df, ["id"], 9, hex_digits=8), "id", "rank")
+    b = _rows(S.hash_rank(df, ["id"], 9, hex_digits=4), "id", "rank")
+    assert a == b
+    assert S.rank_hex_digits(10**12) == 5 and S.rank_hex_digits(100) == 4

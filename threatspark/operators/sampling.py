@@ -78,19 +78,33 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
                   .drop(*bnames, OFFSET, "_ts_rn"))
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def rank_hex_digits(n_rows: int | None) -> int:
+    """Hash-prefix length for the rank buckets: 4 hex digits (65,536 buckets)
+    up to ~6.5e10 rows, then one more digit per 16x, so a bucket keeps about
+    a million rows or fewer (at most 8 digits)."""
+    if not n_rows:
+        return 4
+    return max(4, min(8, math.ceil(math.log(max(n_rows / ROWS_PER_BUCKET, 1.0), 16))))
+
+
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] = (),
-              out: str = "rank", hex_digits: int = 4, hash_col: str | None = None
-              ) -> DataFrame:
+              out: str = "rank", hex_digits: int | None = None, hash_col: str | None = None,
+              n_rows: int | None = None) -> DataFrame:
     """Dense 1-based rank of each row inside its ``by`` group, ordered by
     (md5(seed, key), key): ``ordered_rank`` with the first ``hex_digits`` hex
     characters of the hash as the block, so every group, however large its
     share, is spread evenly over 16**hex_digits blocks. ``hash_col`` names a
     column that already holds ``hash_key(seed, key_cols)`` (computed once,
-    reused by several steps)."""
+    reused by several steps). ``hex_digits`` defaults to a size that keeps
+    buckets near a million rows when ``n_rows`` is known."""
+    hex_digits = hex_digits or rank_hex_digits(n_rows)
     # md5 hex never makes conv() null; coalesce tells the optimizer so, which
     # keeps it from inferring an is-not-null filter that would hash twice
-    bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("int"),
-                        F.lit(0))
+    bucket = F.coalesce(F.conv(F.substring(F.col(HASH), 1, hex_digits), 16, 10).cast("long"),
+                        F.lit(0).cast("long"))
     d = df.withColumn(HASH, F.col(hash_col) if hash_col else hash_key(seed, key_cols))
     bound = 16 ** hex_digits if not by else None     # one row per bucket
     return ordered_rank(d, by, [HASH, *key_cols], [bucket], out=out,
@@ -155,7 +169,8 @@ def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float
     counts = class_counts(df, label) if counts is None else counts
     minor, _, major, keep = undersample_sizes(counts, ratio)
     major_rows = df.where(q(label) == F.lit(major))
-    ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank", hash_col=hash_col)
+    ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank", hash_col=hash_col,
+                       n_rows=counts[major])
     kept = ranked.where(F.col("_ts_rank") <= keep).drop("_ts_rank")
     return df.where(q(label) == F.lit(minor)).unionByName(kept)
 
@@ -177,7 +192,7 @@ def train_test(df: DataFrame, key_cols: Sequence[str], seed, train: float | None
     ``n`` (the row count) saves a counting pass when the caller knows it."""
     n = df.count() if n is None else n
     n_train, _ = split_sizes(n, train, test)
-    ranked = hash_rank(df, key_cols, seed, out="_ts_rank", hash_col=hash_col)
+    ranked = hash_rank(df, key_cols, seed, out="_ts_rank", hash_col=hash_col, n_rows=n)
     return ranked.withColumn(out, F.col("_ts_rank") <= n_train).drop("_ts_rank")
 
 
