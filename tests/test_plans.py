@@ -66,3 +66,15 @@ def test_quantile_fit_on_train_only(spark):
     # fitted on train rows only: the train part of the feature is uniform-ish
     lo, hi = prepared.where("is_train").agg(F.min(f), F.max(f)).first()
     assert lo == 0.0 and hi == 1.0
+
+
+def test_split_independent_of_undersampling(spark):
+    """Train and test get similar class shares: the split does not reuse the
+    undersample's random order (which would send the kept majority rows to
+    train)."""
+    prepared, _ = prepare_flows(fx.flows(spark, SF001), fx.FLOW_KEY, label="label",
+                                identifiers=["flow_ts"], redundant=[],
+                                drop_low_importance=["rare_zero"], checkpoint=False)
+    shares = {r[0]: r[1] for r in prepared.groupBy("is_train").agg(
+        F.avg(F.col("`traffic type`").cast("double"))).collect()}
+    assert abs(shares[True] - shares[False]) < 0.05

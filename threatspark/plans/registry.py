@@ -296,7 +296,7 @@ def q_flow_sample_10k(spark, sf):
 QF = ["fwd_packet_length_max", "flow_bytes_s", "flow_iat_mean", "flow_iat_min"]
 
 
-def _quantile_sql(src: str, nq: int = 1000) -> str:
+def _quantile_sql(src: str, nq: int = 1000, seed="10") -> str:
     """Knot table in SQL: percentiles on the 10,000-row sample, running max,
     grouped by value. ``nq`` = min(1000, sample rows), 1000 for these inputs."""
     refs = "[" + ", ".join(f"{j}::DOUBLE / {nq - 1}::DOUBLE" for j in range(nq)) + "]"
@@ -304,7 +304,7 @@ def _quantile_sql(src: str, nq: int = 1000) -> str:
         f"SELECT '{c}' AS feature, unnest(range({nq})) AS j, "
         f"unnest(quantile_cont({c}, {refs})) AS qv FROM samp" for c in QF)
     return f"""
-samp AS (SELECT * FROM {src} ORDER BY {md5_sql(10)}, {KEY_SQL} LIMIT 10000),
+samp AS (SELECT * FROM {src} ORDER BY {md5_sql(seed)}, {KEY_SQL} LIMIT 10000),
 qs AS ({unions}),
 mono AS (SELECT feature, j, j::DOUBLE / {nq - 1}::DOUBLE AS ref,
                 max(qv) OVER (PARTITION BY feature ORDER BY j ROWS UNBOUNDED PRECEDING) AS knot
@@ -367,10 +367,10 @@ PREP_FEATS = ["fwd_packet_length_max", "flow_bytes_s", "flow_iat_mean", "flow_ia
 @query("flow_prepare", oracle(["flows"], f"""
 SELECT {KEY_SQL}, {', '.join(f'round({c}, 6) AS {c}' for c in PREP_FEATS)}, label,
        CASE traffic_type WHEN 'Normal' THEN 0 WHEN 'Attack' THEN 1 END AS traffic_type,
-       row_number() OVER (ORDER BY {md5_sql(10)}, {KEY_SQL}) <= floor(0.7 * count(*) OVER ())
-       AS is_train
+       row_number() OVER (ORDER BY {md5_sql("10-split")}, {KEY_SQL})
+       <= floor(0.7 * count(*) OVER ()) AS is_train
 FROM (SELECT * EXCLUDE (rare_zero) FROM scaled)""",
-    FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + _quantile_sql("sampled") + ","
+    FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + _quantile_sql("sampled", seed="10-sample") + ","
     + _transform_sql("sampled")))
 def q_flow_prepare(spark, sf):
     """T9 end to end on the flows stand-in (drop list given instead of the
