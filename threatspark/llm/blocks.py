@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 
 CHUNK = 1 << 15
+BLOOM_BITS = 25
+ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "chunk int, cells binary"
 
 
@@ -47,3 +49,33 @@ def added(rows: DataFrame, size: int, dtype, add=np.add, finish=None) -> np.ndar
         part = np.frombuffer(zlib.decompress(c), kind)
         out[k * CHUNK:k * CHUNK + len(part)] = part
     return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _bloom_at(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mixed(keys.view(np.uint64) + ODD)
+    mask = np.uint64((1 << bits) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Packed bit array of fixed size over a column of longs; it can only let through too much."""
+    def run(batches):
+        own = np.zeros(1 << bits, bool)
+        for b in batches:
+            for at in _bloom_at(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
+                own[at] = True
+        yield from emitted(np.packbits(own, bitorder="little"))
+    return added(map_arrow(keys, run, SCHEMA), 1 << (bits - 3), np.uint8, np.bitwise_or)
+
+
+def in_bloom(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = _bloom_at(keys, (len(packed) << 3).bit_length() - 1)
+    one = np.uint8(1)
+    return ((packed[a >> 3] >> (a & 7).astype(np.uint8)) & (packed[b >> 3] >> (b & 7).astype(np.uint8)) & one).astype(bool)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing
+from . import bpe, jaccard, langid, packing, repeats
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
     "op6_language_id": langid.query,
     "op8_packing": packing.query,
+    "op9_suffix_dedup": repeats.query,
     "op10_ngram_jaccard": jaccard.query,
 }
 
