@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing, repeats
+from . import bpe, jaccard, langid, lm, packing, repeats
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
+    "op4_suffix_tree_lm": lm.query,
     "op6_language_id": langid.query,
     "op8_packing": packing.query,
     "op9_suffix_dedup": repeats.query,
