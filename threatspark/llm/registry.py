@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, lm, packing, repeats
+from . import ann, bpe, chat, jaccard, langid, lm, neardup, packing, repeats, warc
 
 QUERIES = {
+    "op1_multi_index_hashing": ann.query,
     "op2_byte_bpe": bpe.query,
+    "op3_embedding_neardup": neardup.query,
     "op4_suffix_tree_lm": lm.query,
+    "op5_chat_windows": chat.query,
     "op6_language_id": langid.query,
+    "op7_warc_normaliser": warc.query,
     "op8_packing": packing.query,
     "op9_suffix_dedup": repeats.query,
     "op10_ngram_jaccard": jaccard.query,
 }
 
+#: No entry: learned codes and trees, tokenizers, files and 64-bit shingle sets have no SQL
+#: that runs on whole tables; tests/llm compares each query with a brute-force version.
 ORACLE: dict[str, str] = {}
