@@ -15,8 +15,9 @@ Equal sets are one node from the start. Candidates first pair each node with
 the least node of a bucket (a star: linear in the bucket), are verified and
 joined into components; then all remaining pairs of a bucket that lie in
 different components follow, so no link between components is lost and pairs
-inside one are never listed. Before counting, parity bitmaps of both sets
-rule pairs out: their Hamming distance never exceeds the symmetric difference.
+inside one are never listed. Within the joins, sizes and parity bitmaps of both
+sets rule pairs out: the bitmaps' Hamming distance never exceeds the symmetric
+difference.
 
 Defined results: null or empty text, or white space only: empty set, linked
 with nothing, component_id the own id; fewer words than a shingle: the whole
@@ -42,16 +43,6 @@ FRAGMENTS = 8
 PARITY_BITS = 1024
 LEAST_SKETCH, MOST_SKETCH = 20, 24   # log2 of the cells of the count sketch
 BYTES_PER_CELL = 200
-BLOOM_BITS = 25
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a whole text."""
@@ -63,8 +54,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     size = min(words, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for i in range(size):
-        h = h * _MIX + w[i:len(w) - size + 1 + i]
-    return np.unique(_mixed(h))
+        h = h * blocks.ODD + w[i:len(w) - size + 1 + i]
+    return np.unique(blocks.mixed(h))
 
 
 def _signature(own: np.ndarray) -> int:
@@ -90,10 +81,10 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def _parity(own: np.ndarray) -> bytes:
+def _parity(own: np.ndarray) -> np.ndarray:
     bit = (own >> np.uint64(20)).astype(np.int64) % PARITY_BITS
     odd = (np.bincount(bit, minlength=PARITY_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).tobytes()
+    return np.packbits(odd).view(np.int64)
 
 
 def _head_rows(text_col: str, words: int, percent: int, bits: int, level):
@@ -121,37 +112,18 @@ def _head_rows(text_col: str, words: int, percent: int, bits: int, level):
                     head.append(own[at].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     pa.array(parity, pa.binary()), pa.array(head, pa.list_(pa.int64()))],
+                     pa.array(parity, pa.list_(pa.int64())), pa.array(head, pa.list_(pa.int64()))],
                     names=["id", "row_key", "n", "node", "parity", "head"])
     return run
 
 
-def _bloom_at(keys: np.ndarray) -> list[np.ndarray]:
-    h = _mixed(keys.view(np.uint64) + _MIX)
-    mask = np.uint64((1 << BLOOM_BITS) - 1)
-    return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)]
-
-
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """Bit array of fixed size over the keys; it may only let through too much."""
-    def run(batches):
-        bits = np.zeros(1 << BLOOM_BITS, bool)
-        for b in batches:
-            for at in _bloom_at(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                bits[at] = True
-        yield from blocks.emitted(np.packbits(bits))
-    got = blocks.added(map_arrow(keys, run, blocks.SCHEMA), 1 << (BLOOM_BITS - 3), np.uint8, np.bitwise_or)
-    return np.unpackbits(got).astype(bool)
-
-
 def _segment_rows(words: int, wanted):
     def run(batches):
         bits = wanted.value
         seen: set[int] = set()
         for whole in batches:
             keys = whole.column(0).to_numpy(zero_copy_only=False)
-            a, b = _bloom_at(keys)
-            whole = whole.filter(pa.array(bits[a] & bits[b]))
+            whole = whole.filter(pa.array(blocks.in_bloom(bits, keys)))
             for batch in sub_batches(whole, "text"):
                 node, frag, toks = [], [], []
                 for t in texts(batch, "text"):
@@ -181,32 +153,26 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["a", "b", "c"])
 
 
-def _parity_filter(percent: int):
-    def run(batches):
-        for b in batches:
-            pa_, pb_, na, nb = (b.column(k) for k in (2, 3, 4, 5))
-            x = np.frombuffer(b"".join(pa_.to_pylist()), np.uint8).reshape(len(b), -1)
-            y = np.frombuffer(b"".join(pb_.to_pylist()), np.uint8).reshape(len(b), -1)
-            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-            both = na.to_numpy() + nb.to_numpy()
-            # overlap is at most (both - apart) / 2; union = both - overlap
-            most = (both - apart) // 2
-            ok = 100 * most >= percent * (both - most)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (b.column(0), b.column(1), na, nb)],
-                                             names=["a", "b", "na", "nb"])
-    return run
+def _may_reach(percent: int, a: str, b: str):
+    """Condition on two sides' n and parity: their sets can reach the threshold."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}parity")[k].bitwiseXOR(F.col(f"{b}parity")[k]))
+                 for k in range(PARITY_BITS // 64)), F.lit(0))
+    # the overlap is at most half of what the sizes leave after the known differences
+    most = F.shiftright(na + nb - apart, 1)
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & (100 * most >= percent * (na + nb - most)))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by partial overlaps per fragment."""
     spark = pairs.sparkSession
-    na = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    nb = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    near = pairs.join(na, "a").join(nb, "b").filter(
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "pa", "pb", "na", "nb")
-    near = stored(map_arrow(near, _parity_filter(percent), "a bigint, b bigint, na bigint, nb bigint"), "pairs")
+    na = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
+    nb = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("parity").alias("b_parity"))
+    near = pairs.join(na, "a").join(nb, "b").filter(_may_reach(percent, "a_", "b_"))
+    near = stored(near.select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb")), "pairs")
     ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = spark.sparkContext.broadcast(_bloom(ends.join(nodes, "node").select("row_key")))
+    wanted = spark.sparkContext.broadcast(blocks.bloom(ends.join(nodes, "node").select("row_key")))
     seg = map_arrow(docs.select("row_key", "text"), _segment_rows(words, wanted),
                     "node bigint, frag int, toks binary")
     seg = seg.join(ends, "node", "left_semi").dropDuplicates(["node", "frag"])
@@ -220,8 +186,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                       percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id), one row per input row."""
+                       percent: int = PERCENT, with_keys: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id), one row per input row.
+
+    ``with_keys`` adds row_key, xxhash64 of id and text, and group, one number per
+    component (null for empty sets).
+    """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn(
         "row_key", F.xxhash64("id", "text"))
@@ -232,7 +202,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     level = spark.sparkContext.broadcast(level)
     id_type = docs.schema["id"].dataType.simpleString()
     rows = stored(map_arrow(docs.select("id", "row_key", "text"), _head_rows("text", words, percent, bits, level),
-                            f"id {id_type}, row_key bigint, n bigint, node bigint, parity binary, head array<bigint>"),
+                            f"id {id_type}, row_key bigint, n bigint, node bigint, parity array<bigint>, head array<bigint>"),
                   "heads")
     # without a head the row repeats a node of its task
     nodes = stored(rows.filter("head is not null").select("node", "n", "parity", "row_key")
@@ -245,14 +215,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _verified(stars, nodes, docs, words, percent)
     comp = stored(components(links), "comps")
     # what is left: pairs of one bucket in different components
-    labelled = (shared.join(comp, "node", "left").join(nodes.select("node", "n"), "node")
-                .select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    labelled = (shared.join(comp, "node", "left").join(nodes.select("node", "n", "parity"), "node")
+                .select("token", "node", "n", "parity", F.coalesce("comp", "node").alias("comp"))
                 .withColumn("lo", F.min("comp").over(own)).withColumn("hi", F.max("comp").over(own))
                 .filter("lo <> hi").drop("lo", "hi"))
     labelled = stored(labelled, "mixed")
     x, y = labelled.alias("x"), labelled.alias("y")
     rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+                   & _may_reach(percent, "x.", "y."))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     more = _verified(rest.join(stars, ["a", "b"], "left_anti"), nodes, docs, words, percent)
     if not more.isEmpty():
@@ -262,11 +232,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_node = of_node.join(comp, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
     of_node = stored(of_node, "of_node")
     of_comp = of_node.groupBy("comp").agg(F.min("low").alias("component_id"))
-    label = of_node.join(of_comp, "comp").select("node", "component_id")
-    return (rows.select("id", "n", "node").join(label, "node", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-                    .alias("component_id")))
+    label = of_node.join(of_comp, "comp").select("node", "component_id", F.col("comp").alias("group"))
+    out = (rows.select("id", "n", "node", "row_key").join(label, "node", "left")
+           .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                   F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+                   .alias("component_id"), "row_key", "group"))
+    return out if with_keys else out.drop("row_key", "group")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
