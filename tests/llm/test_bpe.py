@@ -14,10 +14,13 @@ PATH = P.path(bpe.RANKS)
 SF001 = "/root/testdata/sf0.001"
 
 
+LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={}, mergeable_ranks={
+    base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))})
+
+
 @pytest.fixture(scope="module")
 def enc():
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return LIBRARY
 
 
 def ids(text):
@@ -28,11 +31,7 @@ def ids(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet="aab the\n'st", max_size=300))
 def test_same_as_tiktoken(text):
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={}, mergeable_ranks={
-        base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}) if not hasattr(
-            test_same_as_tiktoken, "enc") else test_same_as_tiktoken.enc
-    test_same_as_tiktoken.enc = enc
-    assert ids(text) == enc.encode_ordinary(text)
+    assert ids(text) == LIBRARY.encode_ordinary(text)
     assert bpe.decode_ids(bpe.encode_text(text, PATH), PATH) == text.encode()
 
 

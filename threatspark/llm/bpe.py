@@ -18,10 +18,10 @@ pass through, an input column named like an output column is replaced.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 import struct
 from array import array
+from heapq import heappop, heappush
 
 import public_tokenizers
 import pyarrow as pa
@@ -36,47 +36,12 @@ RANKS = "byte_bpe_50k.tiktoken"
 ASCII_PATTERN = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 WORD_BITS = 256         # ranks per lower bitmap word
-STORE_ENTRIES = 150_000  # per generation of a worker's store
+STORE_ENTRIES = 250_000  # per generation of a worker's store
 STORE_CHARS = 64        # longer pre-tokens are not kept
 
 
-class RankQueue:
-    """Buckets of list positions by merge rank under a two-level bitmap."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.low: dict[int, int] = {}
-        self.bucket: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        found = self.bucket.get(rank)
-        if found is not None:
-            heapq.heappush(found, position)
-            return
-        self.bucket[rank] = [position]
-        word, bit = divmod(rank, WORD_BITS)
-        self.low[word] = self.low.get(word, 0) | 1 << bit
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        """(lowest rank, its leftmost position); the queue must not be empty."""
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.low[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word * WORD_BITS + bit
-        found = self.bucket[rank]
-        position = heapq.heappop(found)
-        if not found:
-            del self.bucket[rank]
-            bits &= bits - 1
-            self.low[word] = bits
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
+def merge(piece: bytes, ranks: dict[bytes, int], first: list[int]) -> list[int]:
+    """Ids of one pre-token; ``first`` has the rank of each pair of bytes, -1 for none."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
@@ -84,16 +49,36 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     get = ranks.get
     after = list(range(1, n + 1))      # start of the next span
     before = list(range(-1, n - 1))    # start of the span on the left
-    pair = [-1] * (n + 1)              # rank of the pair that starts here, -1: none
-    queue = RankQueue()
-    push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        r = get(piece[i:i + 2])
-        if r is not None:
-            pair[i] = r
-            push(r, i)
-    while queue.top:
-        rank, i = pop()
+    # rank of the pair that starts at a span, -1: none
+    pair = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)] + [-1, -1]
+    # the queue: positions by rank, words of WORD_BITS ranks that are in use, and a bitmap of these words
+    bucket: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
+    for i, r in enumerate(pair):
+        if r >= 0:
+            if r in bucket:
+                bucket[r].append(i)    # in order: the list is a heap
+            else:
+                bucket[r] = [i]
+                w = r // WORD_BITS
+                low[w] = low.get(w, 0) | 1 << r % WORD_BITS
+                top |= 1 << w
+    while top:
+        w = (top & -top).bit_length() - 1
+        bits = low[w]
+        bit = bits & -bits
+        rank = w * WORD_BITS + bit.bit_length() - 1
+        found = bucket[rank]
+        if len(found) > 1:
+            i = heappop(found)
+        else:
+            i = found[0]
+            del bucket[rank]
+            bits ^= bit
+            low[w] = bits
+            if not bits:
+                top &= top - 1
         if pair[i] != rank:
             continue                   # stale
         j = after[i]
@@ -102,26 +87,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         after[i] = k
         if k < n:
             before[k] = i
-            r = get(piece[i:after[k]])
-            if r is None:
-                pair[i] = -1
-            else:
-                pair[i] = r
-                push(r, i)
+            r = pair[i] = get(piece[i:after[k]], -1)
+            if r >= 0:
+                if r in bucket:
+                    heappush(bucket[r], i)
+                else:
+                    bucket[r] = [i]
+                    w = r // WORD_BITS
+                    low[w] = low.get(w, 0) | 1 << r % WORD_BITS
+                    top |= 1 << w
         else:
             pair[i] = -1
         h = before[i]
         if h >= 0:
-            r = get(piece[h:k])
-            if r is None:
-                pair[h] = -1
-            elif pair[h] != r:
-                pair[h] = r
-                push(r, h)
+            r = pair[h] = get(piece[h:k], -1)
+            if r >= 0:
+                if r in bucket:
+                    heappush(bucket[r], h)
+                else:
+                    bucket[r] = [h]
+                    w = r // WORD_BITS
+                    low[w] = low.get(w, 0) | 1 << r % WORD_BITS
+                    top |= 1 << w
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
@@ -131,11 +123,12 @@ class Store(dict):
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks, self.older = ranks, {}
+        self.first = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            ids = merge(piece.encode("utf-8"), self.ranks)
+            ids = merge(piece.encode("utf-8"), self.ranks, self.first)
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= STORE_CHARS:
             if len(self) >= STORE_ENTRIES:
