@@ -2,7 +2,7 @@ import struct
 import zlib
 
 import public_tokenizers as P
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -28,6 +28,7 @@ def test_pieces(n):
     assert len(set(small)) == len(small)
 
 
+@settings(deadline=None)
 @given(st.text(max_size=60))
 def test_words_as_whole_text(text):
     b = packing.encode_texts([text], PATH)[0]
@@ -61,3 +62,10 @@ def test_edge_rows(spark, scratch):
     packing.write_buckets(out, f"{scratch}/packed")
     assert spark.read.parquet(f"{scratch}/packed").count() == len(got)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+@settings(deadline=None)
+@given(st.text(alphabet="aBé'sdLl R1²½ºÀÞßÿĳŉſİ_-.…<|>\x1c\xa0́", max_size=40))
+def test_latin_words_as_whole_text(text):
+    b = packing.encode_texts([text], PATH)[0]
+    assert [*struct.unpack(f"<{len(b) // 4}I", b), 2] == brute(text)

@@ -9,8 +9,10 @@ lengths together for batching, and ``write_buckets`` stores one folder per
 length.
 
 Ids are the tokenizer's for the whole text. Its pre-tokens never contain white
-space, so the text is split at ASCII white space, each distinct word is encoded
-once per worker (in a bounded store) and the ids are joined.
+space, so the text is split at white space and each distinct word is encoded once
+per worker (in bounded stores) and the ids are joined. Words of plain Latin
+letters are cut further into the tokenizer's own pre-tokens, which many words
+share; all others go to the tokenizer whole.
 
 Defined results: null text is the empty text: one piece that holds the end id;
 repeated rows are packed each for itself; other columns pass through and an
@@ -20,9 +22,11 @@ input column named like an output column is replaced; an empty table gives none.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +37,14 @@ from .common import map_arrow, read_table, sub_batches, texts
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
 LONGEST = 4096
-STORE_ENTRIES = 150_000
+BATCH_BYTES = 4 << 20
+STORE_ENTRIES = 400_000  # strings that a worker's store holds after a batch
 STORE_CHARS = 64
+JOINED = 512
+#: Words whose lower case and normal form are the same in every Unicode version, and the
+#: tokenizer's pre-token pattern for them (lower-cased): fixed values.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017f]*").fullmatch
+PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+").findall
 #: Python's split() also cuts at these; to the tokenizer they are no white space.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 OUTPUT = ("start", "length", "ids", "doc_tokens")
@@ -43,12 +53,18 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """(tokenizer, ids by word, ids by pre-token, which ids end a pre-token), once per worker."""
     if path not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {}, {})
+        vocab = t.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        if suffix:
+            ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        _tokenizers[path] = (t, {}, {}, ends)
     return _tokenizers[path]
 
 
@@ -58,32 +74,49 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
+def _encoded(strings: list[str], t, ends: np.ndarray, joined: bool):
+    """(string, packed ids) of each string; pre-tokens may go joined, as each ends with an id that says so."""
+    for a in range(0, len(strings), JOINED):
+        part = strings[a:a + JOINED]
+        if joined:
+            ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cut) == len(part):
+                packed = ids.tobytes()
+                yield from zip(part, [packed[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True)
+                continue
+        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+
+def _bounded(store: dict[str, bytes], used: set[str]) -> None:
+    """Keep a store within its size: the strings in use stay, but for very long ones."""
+    if len(store) > STORE_ENTRIES or any(len(w) > STORE_CHARS for w in used):
+        kept = {w: store[w] for w in used if len(w) <= STORE_CHARS}
+        store.clear()
+        store.update(kept)
+
+
 def encode_texts(values: list[str | None], path: str) -> list[bytes]:
     """Packed little-endian ids of whole texts."""
-    t, new, old = _tokenizer(path)
+    t, by_word, by_part, ends = _tokenizer(path)
     docs = [_words(x or "") for x in values]
-    own: dict[str, bytes] = {}
+    used: set[str] = set()
     for words in docs:
-        own.update(dict.fromkeys(words))
-    miss = []
-    for w in own:
-        found = new.get(w) or old.get(w)
-        if found is None:
-            miss.append(w)
-        else:
-            own[w] = found
-    for a in range(0, len(miss), 4096):
-        part = miss[a:a + 4096]
-        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            own[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    for w, packed in own.items():
-        if len(w) <= STORE_CHARS:
-            if len(new) >= STORE_ENTRIES:
-                old = new
-                new = {}
-            new[w] = packed
-    _tokenizers[path] = (t, new, old)
-    return [b"".join([own[w] for w in words]) for words in docs]
+        used.update(words)
+    miss = used.difference(by_word)
+    cut = {w: PRE_TOKENS(w.lower()) for w in miss if PLAIN(w)}
+    parts: set[str] = set()
+    for pre in cut.values():
+        parts.update(pre)
+    by_part.update(_encoded(list(parts.difference(by_part)), t, ends, True))
+    by_word.update({w: by_part[pre[0]] if len(pre) == 1 else b"".join([by_part[p] for p in pre])
+                    for w, pre in cut.items()})
+    by_word.update(_encoded(list(miss.difference(cut)), t, ends, False))
+    out = [b"".join(map(by_word.__getitem__, words)) for words in docs]
+    _bounded(by_word, used)
+    _bounded(by_part, parts)
+    return out
 
 
 def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -113,7 +146,7 @@ def pack(df: DataFrame, text_col: str = "text", path: str | None = None, end_id:
 
     def run(batches):
         for whole in batches:
-            for batch in sub_batches(whole, text_col):
+            for batch in sub_batches(whole, text_col, BATCH_BYTES):
                 row, start, length, ids, total = [], array("q"), array("q"), [], array("q")
                 for k, packed in enumerate(encode_texts(texts(batch, text_col), path)):
                     packed += end
