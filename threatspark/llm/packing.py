@@ -38,7 +38,7 @@ VOCAB = "word_bpe_49k.json"
 END_ID = 2
 LONGEST = 4096
 BATCH_BYTES = 4 << 20
-STORE_ENTRIES = 400_000  # strings that a worker's store holds after a batch
+STORE_ENTRIES = 700_000  # strings that a worker's store holds after a batch
 STORE_CHARS = 64
 JOINED = 512
 #: Words whose lower case and normal form are the same in every Unicode version, and the
@@ -89,12 +89,15 @@ def _encoded(strings: list[str], t, ends: np.ndarray, joined: bool):
             yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
-def _bounded(store: dict[str, bytes], used: set[str]) -> None:
-    """Keep a store within its size: the strings in use stay, but for very long ones."""
-    if len(store) > STORE_ENTRIES or any(len(w) > STORE_CHARS for w in used):
-        kept = {w: store[w] for w in used if len(w) <= STORE_CHARS}
+def _bounded(store: dict[str, bytes], used: set[str], new: set[str]) -> None:
+    """Keep a store within its size: when it is full, the strings of this batch stay; long ones never do."""
+    if len(store) > STORE_ENTRIES:
+        kept = {w: store[w] for w in used}
         store.clear()
         store.update(kept)
+    for w in new:
+        if len(w) > STORE_CHARS:
+            del store[w]
 
 
 def encode_texts(values: list[str | None], path: str) -> list[bytes]:
@@ -109,13 +112,14 @@ def encode_texts(values: list[str | None], path: str) -> list[bytes]:
     parts: set[str] = set()
     for pre in cut.values():
         parts.update(pre)
-    by_part.update(_encoded(list(parts.difference(by_part)), t, ends, True))
+    new = parts.difference(by_part)
+    by_part.update(_encoded(list(new), t, ends, True))
     by_word.update({w: by_part[pre[0]] if len(pre) == 1 else b"".join([by_part[p] for p in pre])
                     for w, pre in cut.items()})
     by_word.update(_encoded(list(miss.difference(cut)), t, ends, False))
     out = [b"".join(map(by_word.__getitem__, words)) for words in docs]
-    _bounded(by_word, used)
-    _bounded(by_part, parts)
+    _bounded(by_word, used, miss)
+    _bounded(by_part, parts, new)
     return out
 
 
