@@ -94,12 +94,14 @@ def indicators(df: DataFrame, out: str = "indicators") -> DataFrame:
 
 
 def decide_expr(p: Column, threshold: float = DECISION_THRESHOLD) -> Column:
-    """Strictly greater than the threshold -> 1."""
-    return (p > F.lit(threshold)).cast("int")
+    """Strictly greater than the threshold -> 1; null for a null or NaN score
+    (Spark orders NaN above every number, so it must not reach the comparison)."""
+    return F.when(~F.isnan(p), (p > F.lit(threshold)).cast("int"))
 
 
 def verdict_expr(p: Column, threshold: float = DECISION_THRESHOLD) -> Column:
-    return F.when(p > F.lit(threshold), F.lit("Malicious")).otherwise(F.lit("Benign"))
+    d = decide_expr(p, threshold)
+    return F.when(d == 1, F.lit("Malicious")).when(d == 0, F.lit("Benign"))
 
 
 def pct_expr(p: Column) -> Column:

@@ -72,8 +72,11 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     if max_blocks is not None and max_blocks <= BROADCAST_MAX_ROWS:
         offsets = F.broadcast(offsets)          # bounded: at most max_blocks rows
     else:
-        offsets = offsets.repartition(*keys)
-    return (ranked.join(offsets, on=keys, how="inner")
+        offsets = offsets.repartition(*[q(k) for k in keys])
+    # null groups and blocks are groups like any other: the join is null-safe
+    offsets = offsets.withColumnsRenamed({k: f"_ts_o_{k}" for k in keys})
+    same = [q(k).eqNullSafe(q(f"_ts_o_{k}")) for k in keys]
+    return (ranked.join(offsets, on=same, how="inner").drop(*[f"_ts_o_{k}" for k in keys])
                   .withColumn(out, (F.col(OFFSET) + F.col("_ts_rn")).cast("bigint"))
                   .drop(*bnames, OFFSET, "_ts_rn"))
 

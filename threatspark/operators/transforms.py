@@ -163,7 +163,7 @@ class QuantileModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Uniform output in [0, 1]: <= min -> 0, >= max -> 1, a knot -> the
         middle of its reference range, between knots -> linear interpolation.
-        Nulls stay null. The knot interval of each value comes from a
+        Nulls stay null and NaN becomes null. The knot interval of each value comes from a
         Bucketizer (binary search in the JVM); its knots and references from a
         broadcast join with the feature's segment table."""
         feats = [f for f in self.features if f in df.columns and self.knots.get(f)]
@@ -182,7 +182,7 @@ class QuantileModel:
             x = q(f).cast("double")
             kmin, kmax = F.lit(self.knots[f][0]), F.lit(self.knots[f][-1])
             ki, kn, lo, hi, lon = (F.col(c) for c in ("_k", "_kn", "_lo", "_hi", "_lon"))
-            val = (F.when(x.isNull(), F.lit(None).cast("double"))
+            val = (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
                    .when(x <= kmin, F.lit(0.0))
                    .when(x >= kmax, F.lit(1.0))
                    .when(x == ki, (lo + hi) / 2)
@@ -248,18 +248,14 @@ def standardize(train: DataFrame, test: DataFrame, cols: Sequence[str]
 
 # --- T6: one-hot with the first category dropped --------------------------------
 
-MAX_CATEGORIES = 10_000
-
-
-def category_values(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES
+def category_values(df: DataFrame, cols: Sequence[str], max_categories: int | None = None
                     ) -> dict:
-    """Sorted distinct non-null values per text column. A first cheap pass
-    bounds the cardinality, so the sets gathered next are proven small."""
-    card = df.agg(*[F.approx_count_distinct(q(c)).alias(c) for c in cols]).first()
-    big = [c for c in cols if card[c] > max_categories]
-    if big:
-        raise ValueError(f"too many categories to one-hot encode: {big}")
+    """Sorted distinct non-null values per text column; each becomes a column of the
+    result. ``max_categories`` fails on columns that have more, by the exact count."""
     r = df.agg(*[F.array_sort(F.collect_set(q(c))).alias(c) for c in cols]).first()
+    big = [c for c in cols if max_categories is not None and len(r[c]) > max_categories]
+    if big:
+        raise ValueError(f"more than {max_categories} categories to one-hot encode: {big}")
     return {c: list(r[c]) for c in cols}
 
 

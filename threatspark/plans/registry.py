@@ -968,11 +968,11 @@ SELECT o_custkey, CAST(last AS BIGINT) AS best_epoch, CAST(epoch AS BIGINT) AS s
 def q_early_stop(spark, sf):
     """W1 per customer: each customer's order totals in date order are the
     'validation loss' series; patience 3. Epochs are dense positions from the
-    two-level ``ordered_rank`` (blocks: order year, then order-key range), so
+    two-level ``ordered_rank`` (blocks: order year, then month), so
     a customer with a huge share of the orders is still spread over tasks."""
     o = fx.table(spark, sf, "orders")
     h = S.ordered_rank(o, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-                       [F.year("o_orderdate"), F.floor(F.col("o_orderkey") / 1_000_000)],
+                       [F.year("o_orderdate"), F.month("o_orderdate")],
                        out="epoch")
     h = h.select("o_custkey", "epoch", F.col("o_totalprice").alias("val_loss"))
     return M.early_stop(h, patience=3, by=["o_custkey"])

@@ -11,20 +11,37 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ATTR = re.compile(r"^\s*@attribute\s+('([^']*)'|\"([^\"]*)\"|(\S+))\s+(.+?)\s*$", re.I)
 
 
-def arff_attributes(spark: SparkSession, path: str, max_header_lines: int = 100_000
-                    ) -> list[tuple[str, str]]:
-    """(name, ARFF type) of every attribute, in file order."""
-    lines = (spark.read.text(path).withColumn("_pos", F.monotonically_increasing_id())
-             .where(F.lower(F.trim("value")).startswith("@attribute"))
-             .orderBy("_pos").limit(max_header_lines).select("value").collect())
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place in the file: (start of the file split, line of the task)."""
+    return spark.read.text(path).select(
+        "value", F.struct(F.col("_metadata.file_block_start").alias("split"),
+                          F.monotonically_increasing_id().alias("line")).alias("pos"))
+
+
+def _data_pos(lines: DataFrame):
+    """Place of the first ``@data`` line; only before it is ``@`` a directive."""
+    return lines.where(F.lower(F.trim("value")).startswith("@data")).agg(F.min("pos")).first()[0]
+
+
+def _before(pos) -> Column:
+    at = F.struct(F.lit(pos["split"]).cast("bigint").alias("split"), F.lit(pos["line"]).cast("bigint").alias("line"))
+    return F.col("pos") < at
+
+
+def arff_attributes(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, ARFF type) of every attribute, in file order: the header is what stands before ``@data``."""
+    lines = _lines(spark, path)
+    pos = _data_pos(lines)
+    head = lines.where(F.lower(F.trim("value")).startswith("@attribute"))
+    head = head.where(_before(pos)) if pos is not None else head
     out = []
-    for (line,) in lines:
+    for (line,) in head.orderBy("pos").select("value").collect():
         m = _ATTR.match(line)
         if m:
             name = m.group(2) or m.group(3) or m.group(4)
@@ -47,9 +64,14 @@ def read_arff(spark: SparkSession, path: str, nominal_as: str = "string") -> Dat
         return "double"
 
     fields = ", ".join(f"`{n}` {spark_type(t)}" for n, t in attrs)
-    text = spark.read.text(path)
-    body = text.where(~F.trim("value").startswith("@") & ~F.trim("value").startswith("%")
-                      & (F.length(F.trim("value")) > 0))
+    lines = _lines(spark, path)
+    pos = _data_pos(lines)
+    if pos is None:
+        raise ValueError(f"no @data line in {path}")
+    directive = F.lower(F.trim("value")).startswith("@data") & (F.col("pos") == F.struct(
+        F.lit(pos["split"]).cast("bigint").alias("split"), F.lit(pos["line"]).cast("bigint").alias("line")))
+    body = lines.where(~_before(pos) & ~directive & ~F.trim("value").startswith("%")
+                       & (F.length(F.trim("value")) > 0))
     parsed = body.select(F.from_csv(F.col("value"), fields,
                                     {"nullValue": "?", "quote": "'", "mode": "PERMISSIVE"})
                          .alias("r"))

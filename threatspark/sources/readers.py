@@ -89,9 +89,9 @@ def read_requests(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def write_scores(df: DataFrame, path: str, cols: Sequence[str] = ("row_id", "p", "decision")
                  ) -> None:
     """Scored rows to ``path/scores``; rows that could not be read or
-    scored (corrupt record, null probability) to ``path/errors`` instead of
+    scored (corrupt record, null or NaN probability) to ``path/errors`` instead of
     failing the batch."""
-    bad = F.col("p").isNull()
+    bad = F.col("p").isNull() | F.isnan("p")
     if "_corrupt_record" in df.columns:
         bad = bad | F.col("_corrupt_record").isNotNull()
     df = df.withColumn("_bad", bad)
@@ -115,7 +115,7 @@ def write_history(history: DataFrame, path: str) -> None:
 def sink_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Size in bytes of every file under a sink folder."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.parquet").load(path)
+            .load(path)
             .select("path", "length"))
 
 

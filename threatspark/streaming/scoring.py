@@ -52,10 +52,15 @@ def run_scoring_stream(spark: SparkSession, src: str, out: str, checkpoint: str,
         batch = batch.persist()
         try:
             good = score_requests(batch, state, model, keep)
-            good.select(*keep, "p", "decision").withColumn("batch_id", F.lit(batch_id)) \
+            # a row that cannot be scored (null or NaN probability) has no decision
+            good = good.withColumn("_scored", F.col("p").isNotNull() & ~F.isnan("p"))
+            good.where("_scored").select(*keep, "p", "decision").withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("overwrite").parquet(f"{out}/scores/batch_id={batch_id}")
-            bad = batch.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-            bad.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
+            bad = batch.where(F.col("_corrupt_record").isNotNull()).select(
+                *[F.lit(None).cast(batch.schema[k].dataType).alias(k) for k in keep], "_corrupt_record")
+            unscored = good.where(~F.col("_scored")).select(
+                *keep, F.lit(None).cast("string").alias("_corrupt_record"))
+            bad.unionByName(unscored).write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
