@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended_schema, map_arrow, read_table, sub_batches, texts, with_columns
+from .common import extended_schema, map_arrow, read_table, sub_batches, texts, with_columns, worker_stores
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: The same split as public_tokenizers.PATTERN for texts that are all ASCII.
@@ -153,6 +153,15 @@ def _encoder(path: str, pattern: str):
     return _encoders[path, pattern]
 
 
+def _empty() -> None:
+    for _, store, _ in _encoders.values():
+        store.clear()
+        store.older = {}
+
+
+worker_stores["bpe"] = _empty
+
+
 def encode_text(text: str | None, path: str, pattern: str = public_tokenizers.PATTERN) -> bytes:
     """Ids of a whole text as little-endian unsigned 32-bit integers."""
     split, store, _ = _encoder(path, pattern)
@@ -179,7 +188,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None,
                 ids = [encode_text(t, path, pattern) for t in texts(batch, text_col)]
                 yield with_columns(batch, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                                            "ids": pa.array(ids, pa.binary())})
-    return map_arrow(df, run, extended_schema(df, {"n_tokens": "bigint", "ids": "binary"}))
+    return map_arrow(df, run, extended_schema(df, {"n_tokens": "bigint", "ids": "binary"}), store="bpe")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None,
@@ -192,7 +201,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None,
             for batch in sub_batches(whole, ids_col):
                 out = [decode_ids(x or b"", path, pattern) for x in texts(batch, ids_col)]
                 yield with_columns(batch, {"decoded": pa.array(out, pa.binary())})
-    return map_arrow(df, run, extended_schema(df, {"decoded": "binary"}))
+    return map_arrow(df, run, extended_schema(df, {"decoded": "binary"}), store="bpe")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

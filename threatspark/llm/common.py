@@ -23,22 +23,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, on which the memory of tasks depends; set where the session has Spark's default.
+ARROW_ROWS = 2_500
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package when the driver found it by path.
 
     On a cluster the package is installed or shipped; the extra path entry
     then names nothing and does no harm.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` after making sure that workers can import ``fn``."""
+#: Stores that operators keep in a Python worker from task to task: name -> function that empties it.
+worker_stores: dict = {}
+
+
+def map_arrow(df: DataFrame, fn, schema: str, store: str | None = None) -> DataFrame:
+    """``mapInArrow`` after making sure that workers can import ``fn``.
+
+    A worker that now runs another operator first empties the stores of earlier
+    ones; ``store`` names the one that ``fn`` uses.
+    """
     workers_import(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        for name, clear in worker_stores.items():
+            if name != store:
+                clear()
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return df.mapInArrow(run, schema)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

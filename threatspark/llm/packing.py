@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, sub_batches, texts
+from .common import map_arrow, read_table, sub_batches, texts, worker_stores
 
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
 LONGEST = 4096
 BATCH_BYTES = 4 << 20
-STORE_ENTRIES = 700_000  # strings that a worker's store holds after a batch
+STORE_WORDS, STORE_PARTS = 400_000, 250_000  # strings that a worker's stores hold after a batch
 STORE_CHARS = 64
 JOINED = 512
 #: Words whose lower case and normal form are the same in every Unicode version, and the
@@ -89,9 +89,18 @@ def _encoded(strings: list[str], t, ends: np.ndarray, joined: bool):
             yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
-def _bounded(store: dict[str, bytes], used: set[str], new: set[str]) -> None:
+def _empty() -> None:
+    for _, by_word, by_part, _ in _tokenizers.values():
+        by_word.clear()
+        by_part.clear()
+
+
+worker_stores["packing"] = _empty
+
+
+def _bounded(store: dict[str, bytes], most: int, used: set[str], new: set[str]) -> None:
     """Keep a store within its size: when it is full, the strings of this batch stay; long ones never do."""
-    if len(store) > STORE_ENTRIES:
+    if len(store) > most:
         kept = {w: store[w] for w in used}
         store.clear()
         store.update(kept)
@@ -118,8 +127,8 @@ def encode_texts(values: list[str | None], path: str) -> list[bytes]:
                     for w, pre in cut.items()})
     by_word.update(_encoded(list(miss.difference(cut)), t, ends, False))
     out = [b"".join(map(by_word.__getitem__, words)) for words in docs]
-    _bounded(by_word, used, miss)
-    _bounded(by_part, parts, new)
+    _bounded(by_word, STORE_WORDS, used, miss)
+    _bounded(by_part, STORE_PARTS, parts, new)
     return out
 
 
@@ -168,7 +177,7 @@ def pack(df: DataFrame, text_col: str = "text", path: str | None = None, end_id:
 
     own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in keep]
     schema = ", ".join([*own, "start bigint", "length bigint", "ids binary", "doc_tokens bigint"])
-    out = map_arrow(df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names], text_col), run, schema)
+    out = map_arrow(df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names], text_col), run, schema, store="packing")
     # 13 buckets at most in the upper bits; the row number below them needs no shuffle
     bucket = F.log2(F.col("length").cast("double")).cast("long")
     return (out.withColumn("sequence_id", F.shiftleft(bucket, 56).bitwiseOR(F.monotonically_increasing_id()))
