@@ -114,7 +114,7 @@ def normalize_columns(df: DataFrame, required: Iterable[str] = ()) -> DataFrame:
     out = df.toDF(*trimmed)
     for r in required:
         if r not in trimmed:
-            raise KeyError(f"required column {r!r} is missing; the table has {trimmed}")
+            raise KeyError(f"{r!r} is required. Available columns: {trimmed}")
     return out
 
 
