@@ -38,7 +38,7 @@ VOCAB = "word_bpe_49k.json"
 END_ID = 2
 LONGEST = 4096
 BATCH_BYTES = 4 << 20
-STORE_WORDS, STORE_PARTS = 400_000, 250_000  # strings that a worker's stores hold after a batch
+STORE_WORDS, STORE_PARTS = 700_000, 700_000  # strings that a worker's stores hold after a batch
 STORE_CHARS = 64
 JOINED = 512
 #: Words whose lower case and normal form are the same in every Unicode version, and the
