@@ -35,7 +35,7 @@ def test_quantile_transform_matches_two_sided_rule(spark):
 
 def test_quantile_nulls_and_save_load(spark, scratch):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0)], "id long, x double")
-    qm = T.QuantileModel.fit(df, ["x"], ["id"], n_quantiles=1000, subsample=10)
+    qm = T.QuantileModel.fit(df, ["x"], ["id"], n_quantiles=1000)
     assert len(qm.knots["x"]) == 4          # n_quantiles capped by the rows (nulls count)
     out = {r[0]: r[1] for r in qm.transform(df).collect()}
     assert out[3] is None and out[1] == 0.0 and out[4] == 1.0
@@ -45,6 +45,33 @@ def test_quantile_nulls_and_save_load(spark, scratch):
     assert T.QuantileModel.load(spark, f"{scratch}/absent") is None
 
 
+def test_quantile_fit_reads_all_rows(spark, monkeypatch):
+    """Exact over many blocks, a hot value, nulls, NaN and infinities; no single-task percentile."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.full(9000, 3.0), rng.normal(0, 5, 20000), [np.inf, -np.inf]])
+    y = rng.integers(0, 4, len(x)).astype(float)
+    rows = [(float(a), float(b) if i % 3 else (None if i % 2 else float("nan")), None)
+            for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(7)
+    seen = np.array([b for _, b, _ in rows if b is not None and b == b])
+    refs = np.linspace(0, 1, 200)
+    exp = {"x": np.quantile(x[np.isfinite(x)], refs), "y": np.quantile(seen, refs)}
+    for blocks in (16, 2048):
+        monkeypatch.setattr(T, "QUANTILE_BLOCKS", blocks)
+        m = T.QuantileModel.fit(df, ["x", "y", "z"], n_quantiles=200)
+        for c in "xy":
+            knots = np.repeat(m.knots[c], [round((hi - lo) * 199) + 1 for lo, hi in zip(m.ref_lo[c], m.ref_hi[c])])
+            assert len(knots) == 200 and np.allclose(knots, exp[c], atol=1e-9)
+        assert "z" not in m.knots
+        ends = m.transform(df.where("abs(x) = double('inf')")).orderBy("x").select("x").collect()
+        assert [r[0] for r in ends] == [0.0, 1.0]
+
+
+def test_quantile_fit_of_an_empty_table(spark):
+    m = T.QuantileModel.fit(spark.createDataFrame([], "x double"), ["x"])
+    assert m.knots == {}
+
+
 def test_min_max_constant_is_null_and_impute(spark):
     df = spark.createDataFrame([(1.0, 5.0, 0), (3.0, 5.0, 1), (None, 5.0, 1)],
                                "a double, c double, Label int")

@@ -91,3 +91,16 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_correlated_features_with_constant_and_null_columns(spark):
+    from threatspark.operators.importance import correlated_features, correlated_to_drop
+    rows = [(float(i), 2.0 * i + 1, 5.0, float(i % 3), None if i % 4 == 0 else -3.0 * i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, `b.1` double, const double, c double, holes double, none double")
+    cols = ["a", "b.1", "const", "c", "holes", "none"]
+    got = {(r["a"], r["b"]): r["r"] for r in correlated_features(df, cols, 0.9).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {
+        ("a", "b.1"): 1.0, ("a", "holes"): -1.0, ("b.1", "holes"): -1.0}
+    assert correlated_to_drop(df, cols, 0.9) == ["b.1", "holes"]
+    assert correlated_features(df.limit(0), cols).count() == 0
+    assert correlated_features(df, ["const", "none"]).count() == 0

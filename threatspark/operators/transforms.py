@@ -9,6 +9,7 @@ over that state, so it stays inside whole-stage codegen.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -21,8 +22,9 @@ from .sampling import smallest_hash_sample
 
 # Fixed values of the reference's quantile transform.
 N_QUANTILES = 1000
-QUANTILE_SUBSAMPLE = 10_000
 QUANTILE_SEED = 10
+# Blocks that a column's values are cut into while its quantiles are looked up.
+QUANTILE_BLOCKS = 2048
 
 
 def _double_array(values: Sequence[float]) -> Column:
@@ -97,19 +99,17 @@ class QuantileModel:
 
     # T3
     @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
-            n_quantiles: int = N_QUANTILES, subsample: int | None = QUANTILE_SUBSAMPLE,
+    def fit(cls, df: DataFrame, cols: Sequence[str], key_cols: Sequence[str] = (),
+            n_quantiles: int = N_QUANTILES, subsample: int | None = None,
             seed=QUANTILE_SEED, n_rows: int | None = None, hash_col: str | None = None
             ) -> "QuantileModel":
-        """Exact linear percentiles over a repeatable sample of ``subsample`` rows
-        (the smallest md5 keys; TakeOrdered keeps memory per task at ``subsample``)."""
+        """Exact linear percentiles over all rows. ``subsample`` fits on that many rows
+        instead, the smallest md5 keys of ``key_cols``."""
         if not subsample:
-            return cls.from_state(quantile_state(df, cols, n_quantiles, n_rows), cols)
-        # the sample is bounded by ``subsample`` rows and comes back cached
+            return cls.from_state(quantile_state(df, cols, n_quantiles), cols)
         sample = smallest_hash_sample(df, key_cols, seed, subsample, hash_col, n_rows)
         try:
-            return cls.from_state(quantile_state(sample.select(*[q(c) for c in cols]), cols,
-                                                 n_quantiles), cols)
+            return cls.from_state(quantile_state(sample, cols, n_quantiles), cols)
         finally:
             sample.unpersist()
 
@@ -124,7 +124,7 @@ class QuantileModel:
         return m
 
     def state(self, spark: SparkSession) -> DataFrame:
-        rows = [(f, k, lo, hi) for f in self.features
+        rows = [(f, k, lo, hi) for f in self.features if f in self.knots
                 for k, lo, hi in zip(self.knots[f], self.ref_lo[f], self.ref_hi[f])]
         return spark.createDataFrame(
             rows, "feature string, knot double, ref_lo double, ref_hi double")
@@ -191,28 +191,91 @@ class QuantileModel:
         return d.select(*[q(c) for c in order if c not in bcols.values()])
 
 
-def quantile_state(sample: DataFrame, cols: Sequence[str], n_quantiles: int = N_QUANTILES,
-                   n_rows: int | None = None) -> DataFrame:
-    """Long-form knot table ``(feature, knot, ref_lo, ref_hi)``.
+def _quantile_blocks(df: DataFrame, k: int) -> tuple[int, list[int], list[list[float]]]:
+    """Rows, non-null values per column and cut points per column (at most QUANTILE_BLOCKS),
+    of the columns ``_v0`` ... in one aggregate. The cuts only spread the work: any will do."""
+    parts = _double_array([j / QUANTILE_BLOCKS for j in range(1, QUANTILE_BLOCKS)])
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[x for i in range(k) for x in (
+        F.count(f"_v{i}").alias(f"n{i}"),
+        F.percentile_approx(f"_v{i}", parts, 10 * QUANTILE_BLOCKS).alias(f"c{i}"))]).first()
+    cuts = [sorted({x + 0.0 for x in r[f"c{i}"] or []}) or [0.0] for i in range(k)]
+    return r["n"], [r[f"n{i}"] for i in range(k)], cuts
+
+
+def _order_statistics(df: DataFrame, wanted: list[list[int]], cuts: list[list[float]]) -> dict:
+    """(column number, position) -> value at that 0-based position of the sorted non-null values.
+
+    Values are counted per block between cuts; the positions' blocks are looked up in
+    those counts (columns x blocks, on the driver), and only the values of these
+    blocks are ranked, each distinct value once.
+    """
+    k = len(cuts)
+    blocks = Bucketizer(splitsArray=[[-math.inf, *c, math.inf] for c in cuts],
+                        inputCols=[f"_v{i}" for i in range(k)], outputCols=[f"_b{i}" for i in range(k)],
+                        handleInvalid="keep").transform(df)
+    long = blocks.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.col(f"_b{i}").cast("int").alias("b"), F.col(f"_v{i}").alias("v"))
+        for i in range(k)])).alias("x")).select("x.*").where("v IS NOT NULL")
+    starts: list[list[int]] = [[] for _ in range(k)]
+    names: list[list[int]] = [[] for _ in range(k)]
+    total = [0] * k
+    for r in sorted(long.groupBy("f", "b").count().collect()):       # at most columns x blocks rows
+        starts[r["f"]].append(total[r["f"]])
+        names[r["f"]].append(r["b"])
+        total[r["f"]] += r["count"]
+    need: dict[tuple[int, int], list[int]] = {}
+    first: dict[tuple[int, int], int] = {}
+    for f, positions in enumerate(wanted):
+        for p in positions:
+            at = bisect_right(starts[f], p) - 1
+            need.setdefault((f, names[f][at]), []).append(p - starts[f][at])
+            first[f, names[f][at]] = starts[f][at]
+    if not need:
+        return {}
+    spark = df.sparkSession
+    # at most two positions per column and quantile
+    table = F.broadcast(spark.createDataFrame([(f, b, ps) for (f, b), ps in need.items()],
+                                              "f int, b int, wanted array<bigint>"))
+    counts = long.join(table, ["f", "b"], "left_semi").groupBy("f", "b", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("f", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (counts.withColumn("upto", F.sum("n").over(w)).join(table, ["f", "b"])
+             .select("f", "b", "v", F.explode(F.filter(
+                 "wanted", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).alias("p")))
+    return {(r["f"], first[r["f"], r["b"]] + r["p"]): r["v"] for r in found.collect()}
+
+
+def quantile_state(df: DataFrame, cols: Sequence[str], n_quantiles: int = N_QUANTILES) -> DataFrame:
+    """Long-form knot table ``(feature, knot, ref_lo, ref_hi)``, exact over all rows.
 
     Quantiles are linear-interpolated percentiles at evenly spaced references
-    (n = min(n_quantiles, rows)); they are made non-decreasing with a running
-    max, then grouped by value so each distinct knot keeps its lowest and
-    highest reference.
+    (n = min(n_quantiles, rows)) of the finite values; null, NaN and infinities
+    are missing. They are made non-decreasing with a running max, then grouped by value so
+    each distinct knot keeps its lowest and highest reference. A column without
+    values has no knots. ``df`` is read three times.
     """
-    n_rows = sample.count() if n_rows is None else n_rows
-    nq = max(1, min(n_quantiles, n_rows))
-    refs = quantile_refs(nq)
-    arr = sample.agg(*[F.percentile(q(c).cast("double"), _double_array(refs)).alias(f"q{i}")
-                       for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', q{i}" for i, c in enumerate(cols))
-    long = arr.selectExpr(f"stack({len(cols)}, {stack}) as (feature, qs)") \
-              .select("feature", F.posexplode("qs").alias("j", "qv")) \
-              .withColumn("ref", F.element_at(_double_array(refs), F.col("j") + 1))
-    w = Window.partitionBy("feature").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    mono = long.withColumn("knot", F.max("qv").over(w))
-    return mono.groupBy("feature", "knot").agg(F.min("ref").alias("ref_lo"),
-                                               F.max("ref").alias("ref_hi"))
+    spark = df.sparkSession
+    # NaN counts as greater than infinity, so this keeps the finite values
+    d = df.select(*[F.when(F.abs(x) < F.lit(math.inf), x).alias(f"_v{i}")
+                    for i, x in enumerate(q(c).cast("double") for c in cols)])
+    schema = "feature string, knot double, ref_lo double, ref_hi double"
+    if not cols:
+        return spark.createDataFrame([], schema)
+    n_rows, sizes, cuts = _quantile_blocks(d, len(cols))
+    refs = quantile_refs(max(1, min(n_quantiles, n_rows)))
+    at = [[ref * (n - 1) for ref in refs] if n else [] for n in sizes]
+    wanted = [sorted({p for x in xs for p in (math.floor(x), math.ceil(x))}) for xs in at]
+    value = _order_statistics(d, wanted, cuts)
+    rows = []
+    for f, c in enumerate(cols):
+        knots: dict[float, list[float]] = {}
+        top = -math.inf
+        for ref, x in zip(refs, at[f]):
+            lo, hi = value[f, math.floor(x)], value[f, math.ceil(x)]
+            part = x - math.floor(x)
+            top = max(top, lo + (hi - lo) * part)     # equal neighbours give their own value
+            knots.setdefault(top, [ref, ref])[1] = ref
+        rows += [(c, knot, lo, hi) for knot, (lo, hi) in knots.items()]
+    return spark.createDataFrame(rows, schema)
 
 
 # --- T5: standardisation (population std) ---------------------------------------

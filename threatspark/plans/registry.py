@@ -287,7 +287,7 @@ def q_flow_tail_split(spark, sf):
 @query("flow_sample_10k", oracle(["flows"], f"""
 SELECT {KEY_SQL} FROM flows ORDER BY {md5_sql(10)}, {KEY_SQL} LIMIT 10000"""))
 def q_flow_sample_10k(spark, sf):
-    """The bounded, repeatable 10,000-row sample the quantile fit uses."""
+    """A repeatable sample of exactly 10,000 rows."""
     return S.smallest_hash_sample(fx.flows(spark, sf).select(*KEY), KEY, 10, 10000)
 
 
@@ -296,15 +296,14 @@ def q_flow_sample_10k(spark, sf):
 QF = ["fwd_packet_length_max", "flow_bytes_s", "flow_iat_mean", "flow_iat_min"]
 
 
-def _quantile_sql(src: str, nq: int = 1000, seed="10") -> str:
-    """Knot table in SQL: percentiles on the 10,000-row sample, running max,
-    grouped by value. ``nq`` = min(1000, sample rows), 1000 for these inputs."""
+def _quantile_sql(src: str, nq: int = 1000) -> str:
+    """Knot table in SQL: percentiles over all rows, running max, grouped by
+    value. ``nq`` = min(1000, rows), 1000 for these inputs."""
     refs = "[" + ", ".join(f"{j}::DOUBLE / {nq - 1}::DOUBLE" for j in range(nq)) + "]"
     unions = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, unnest(range({nq})) AS j, "
-        f"unnest(quantile_cont({c}, {refs})) AS qv FROM samp" for c in QF)
+        f"unnest(quantile_cont({c}, {refs})) AS qv FROM {src}" for c in QF)
     return f"""
-samp AS (SELECT * FROM {src} ORDER BY {md5_sql(seed)}, {KEY_SQL} LIMIT 10000),
 qs AS ({unions}),
 mono AS (SELECT feature, j, j::DOUBLE / {nq - 1}::DOUBLE AS ref,
                 max(qv) OVER (PARTITION BY feature ORDER BY j ROWS UNBOUNDED PRECEDING) AS knot
@@ -316,8 +315,7 @@ knots AS (SELECT feature, knot, min(ref) AS ref_lo, max(ref) AS ref_hi FROM mono
 SELECT feature, round(knot, 6) AS knot, round(ref_lo, 6) AS ref_lo, round(ref_hi, 6) AS ref_hi
 FROM knots""", _quantile_sql("flows")))
 def q_flow_quantile_fit(spark, sf):
-    samp = S.smallest_hash_sample(fx.flows(spark, sf), KEY, 10, 10000)
-    st = quantile_state(samp, QF, 1000)
+    st = quantile_state(fx.flows(spark, sf), QF, 1000)
     return st.select("feature", r6("knot").alias("knot"), r6("ref_lo").alias("ref_lo"),
                      r6("ref_hi").alias("ref_hi"))
 
@@ -347,7 +345,7 @@ SELECT {KEY_SQL}, {', '.join(f'round(s_{c}, 6) AS {c}' for c in QF)} FROM (
         "flows", keep="t.flow_id, t.source_port, t.part_id, t.supp_id")))
 def q_flow_quantile_transform(spark, sf):
     fl = fx.flows(spark, sf)
-    qm = QuantileModel.fit(fl, QF, KEY, n_quantiles=1000, subsample=10000, seed=10)
+    qm = QuantileModel.fit(fl, QF, KEY, n_quantiles=1000)
     out = qm.transform(fl.select(*KEY, *QF))
     return out.select(*KEY, *[r6(c).alias(c) for c in QF])
 
@@ -361,6 +359,22 @@ def q_flow_correlated(spark, sf):
     return out.select("a", "b", r6("r").alias("r"))
 
 
+CORR_COLS = [*QF, "bwd_urg_flags", "rare_zero", "bytes_total", "bytes_left"]
+CORR_SQL = """corr_flows AS (SELECT *, 2 * flow_bytes_s + flow_iat_mean AS bytes_total,
+    CASE WHEN source_port <> 7 THEN fwd_packet_length_max - flow_bytes_s END AS bytes_left FROM flows)"""
+
+
+@query("flow_correlated_pairs", oracle(["flows"], "SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM corr_flows"
+    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]) + ") WHERE NOT isnan(r) AND abs(r) > 0.5", CORR_SQL))
+def q_flow_correlated_pairs(spark, sf):
+    """M4 with constant columns, with and without nulls, and correlated ones among the features."""
+    d = fx.flows(spark, sf).withColumn("bytes_total", 2 * F.col("flow_bytes_s") + F.col("flow_iat_mean")).withColumn(
+        "bytes_left", F.when(F.col("source_port") != 7, F.col("fwd_packet_length_max") - F.col("flow_bytes_s")))
+    out = I.correlated_features(d, CORR_COLS, threshold=0.5)
+    return out.select("a", "b", r6("r").alias("r"))
+
+
 PREP_FEATS = ["fwd_packet_length_max", "flow_bytes_s", "flow_iat_mean", "flow_iat_min"]
 
 
@@ -370,7 +384,7 @@ SELECT {KEY_SQL}, {', '.join(f'round({c}, 6) AS {c}' for c in PREP_FEATS)}, labe
        row_number() OVER (ORDER BY {md5_sql("10-split")}, {KEY_SQL})
        <= floor(0.7 * count(*) OVER ()) AS is_train
 FROM (SELECT * EXCLUDE (rare_zero) FROM scaled)""",
-    FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + _quantile_sql("sampled", seed="10-sample") + ","
+    FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + _quantile_sql("sampled") + ","
     + _transform_sql("sampled")))
 def q_flow_prepare(spark, sf):
     """T9 end to end on the flows stand-in (drop list given instead of the
@@ -392,7 +406,7 @@ def q_flow_score_prepare(spark, sf):
     """Scoring preparation with a fitted, saved and reloaded knot state."""
     from ..session import scratch_path
     fl = fx.flows(spark, sf)
-    qm = QuantileModel.fit(fl, QF, KEY, n_quantiles=1000, subsample=10000, seed=10)
+    qm = QuantileModel.fit(fl, QF, KEY, n_quantiles=1000)
     path = scratch_path(spark, "quantiles")
     qm.save(spark, path)
     state = FL.FlowState(features=QF, zero_columns=["bwd_urg_flags"],
