@@ -87,3 +87,21 @@ def test_edges(spark):
     none = lm.fit_and_score(df, F.lit(False)).collect()
     assert len(none) == 6 and all(r.train_tokens == 0 and r.score == r.base_score == 0 for r in none)
     assert lm.fit_and_score(df.limit(0), F.col("train")).count() == 0
+
+
+def test_rare_phrase_in_a_large_table(spark):
+    """What occurs five times is learnt however many other tokens there are."""
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 2_000)), True) for i in range(60)]
+    rows += [(100 + i, "zig zag zug zog", True) for i in range(5)] + [(200, "zig zag zug zog", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = []
+    out = {r.doc_id: r for r in lm.fit_and_score(df.repartition(3), F.col("train"), out=got).collect()}
+    # each of the last tokens has probability (5 - 0.75) / 5 at least in its context
+    assert out[200].train_tokens > 120_000 and out[200].base_score < -20 and out[200].score > -6
+    tree = got[0]
+    number = {int(h): i for i, h in enumerate(tree.words)}
+    counts = Counter(t for _, text, train in rows if train for t in tokens(text))
+    from xxhash import xxh3_64_intdigest
+    want = reference_score(tree, lambda t: number.get(xxh3_64_intdigest((t or "").encode()), -1), counts, rows[-1][1])
+    assert out[200].score == pytest.approx(want, rel=1e-9)
