@@ -64,3 +64,31 @@ def test_edge_rows(spark, model):
     empty = langid.fit(df.limit(0))
     assert empty.langs == [] and {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def log_sum(word, model, k):
+    """log P(word) under language k over all segmentations, one position at a time in log space."""
+    _, ids, longest, byte_ids = langid._processor(model.vocab)
+    s, a = langid.MARK + word, [0.0]
+    for j in range(1, len(s) + 1):
+        terms = [a[i] + math.log(model.prob[ids[s[i:j]], k]) for i in range(max(0, j - longest), j) if s[i:j] in ids]
+        if s[j - 1:j] not in ids:
+            terms.append(a[j - 1] + sum(math.log(model.prob[byte_ids[x], k]) for x in s[j - 1].encode()))
+        top = max(terms)
+        a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return a[-1]
+
+
+def test_runs_of_unseen_characters(model):
+    """Runs without white space of single pieces and byte-fallback characters, none ever seen."""
+    _, ids, _, _ = langid._processor(model.vocab)
+    prob = np.full(model.prob.shape, 1e-15)
+    prob[:, 1:] = 3e-15
+    prob[-1] = 0
+    prob[ids["the"]] = 0.5
+    unseen = langid.LanguageModel(model.langs, model.prior, prob, model.vocab)
+    piece = next(c for c in "中é国" if c in ids)
+    words = [piece * n for n in (15, 33, 64, 200)] + ["\U00010348" * n for n in (8, 33, 64)] + ["the" + piece * 40 + "the"]
+    got = langid.forward(words, unseen)
+    for w, row in zip(words, got, strict=True):
+        assert row == pytest.approx([log_sum(w, unseen, k) for k in range(len(model.langs))], rel=1e-9)

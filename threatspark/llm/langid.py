@@ -41,6 +41,7 @@ MIX = 0.05            # weight of the all-language distribution
 FLUSH_WORDS = 200_000  # distinct words held before they are segmented
 MODEL_BYTES = 1 << 28  # largest model that is broadcast
 RESCALE = 16
+TINY = 1e-200         # forward value below which a word is summed in log space
 
 _pieces: dict[str, tuple] = {}
 
@@ -132,6 +133,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return LanguageModel(langs, prior, prob, vocab)
 
 
+def _log_forward(word: str, model: LanguageModel) -> np.ndarray:
+    """log P(word | language) in log space, for words whose forward values leave a double's range."""
+    _, ids, longest, byte_ids = _processor(model.vocab)
+    s, window = MARK + word, [np.zeros(len(model.langs))]
+    for j in range(1, len(s) + 1):
+        terms = []
+        for back, before in enumerate(reversed(window), 1):
+            at = ids.get(s[j - back:j])
+            if at is not None:
+                terms.append(before + np.log(model.prob[at]))
+            elif back == 1:
+                at = byte_ids[list(s[j - 1].encode("utf-8", "replace"))]
+                terms.append(before + np.log(model.prob[at]).sum(0))
+        window = [*window[-(longest - 1):], np.logaddexp.reduce(terms)]
+    return window[-1]
+
+
 def forward(words: list[str], model: LanguageModel) -> np.ndarray:
     """log P(word | language), summed over all segmentations; shape (words, languages)."""
     _, ids, longest, byte_ids = _processor(model.vocab)
@@ -144,6 +162,7 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
     for n, rows in by_length.items():
         ws = [MARK + words[k] for k in rows]
         scale = np.zeros((len(ws), prob.shape[1]))
+        low = np.zeros(len(ws), bool)
         window = [np.ones_like(scale)]  # forward values at the last `longest` positions
         for j in range(1, n + 1):
             acc = np.zeros_like(scale)
@@ -155,12 +174,19 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
                     for k in np.flatnonzero(at == none):
                         p[k] = np.prod(prob[byte_ids[list(ws[k][i:j].encode("utf-8", "replace"))]], axis=0)
                 acc += before * p
+            small = acc < TINY
+            if small.any():
+                low |= small.any(1)
             window = [*window[-(longest - 1):], acc]
             if j % RESCALE == 0:
                 top = np.maximum.reduce(window)
+                top[low] = 1
                 window = [x / top for x in window]
                 scale += np.log(top)
+        window[-1][low] = 1
         out[rows] = scale + np.log(window[-1])
+        for k in np.flatnonzero(low):
+            out[rows[k]] = _log_forward(words[rows[k]], model)
     return out
 
 
