@@ -1,6 +1,9 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -72,3 +75,28 @@ def test_edges(spark, hot, monkeypatch):
         b = (r.text or "").encode()
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed and len(bytes(r.kept)) + r.n_removed == len(b)
     assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_hot_block_is_dealt_over_partitions():
+    """A passage with another neighbourhood in every text: its records go to several partitions."""
+    rnd = random.Random(5)
+    piece = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = piece(60)
+    rows = pa.RecordBatch.from_pydict({"text": [piece(60) + passage + piece(60) for _ in range(40)],
+                                       "text_key": pa.array(range(40), pa.int64())})
+    every, none = (SimpleNamespace(value=np.full(1 << 17, x, np.uint8)) for x in (255, 0))
+
+    def records(hot):
+        out = {}
+        for b in repeats._runs(60, 1 << 20, every, hot)(iter([rows])):
+            for r in b.to_pylist():
+                if r["part"] is not None:
+                    out[r["part"]] = out.get(r["part"], 0) + len(r["ctx"]) // 8
+        return out
+
+    cold, dealt = records(none), records(every)
+    assert max(cold.values()) >= 40  # a block of the passage, whole
+    assert len(dealt) > len(cold) and sum(dealt.values()) > sum(cold.values())
+    found = [h for t in rows.column(0).to_pylist() for h in repeats.anchors(t.encode(), 60)[1].tolist()]
+    block = max(set(found), key=found.count)
+    assert dealt.get(block % (1 << 20), 0) < found.count(block)

@@ -18,8 +18,8 @@ only suffixes at anchors need sorting:
    under repeated windows are cut.
 
 A block with very many occurrences is dealt out again by the offset of the
-window in it, in cells of ``CELL`` bytes; the members of a group then share all
-but that many bytes of a window. Equal texts are one text: each of their copies is
+window in it, in cells of ``CELL`` bytes, and goes to a partition by the bytes that
+the members of a group share: all but that many bytes of a window. Equal texts are one text: each of their copies is
 covered by the others, so it goes whole if it has ``length`` bytes.
 
 Defined results: null text is empty; texts shorter than ``length`` stay; matches
@@ -192,7 +192,11 @@ def _runs(length: int, parts: int, again, hot):
                     shape = (code * 4096 + dlo) * 4096 + dhi
                     ctx = blocks.mixed(_hash_at(prefix, start, stop) + shape.astype(np.uint64) * blocks.ODD)
                     ctx = ctx.view(np.int64)
+                    # hot records of a block part by the bytes that all members of a group share
+                    dealt = is_hot[row]
                     part_of = h[row]
+                    shared = _hash_at(prefix, core[dealt], core[dealt] + length - CELL + 1)
+                    part_of[dealt] = blocks.mixed(part_of[dealt] + shared + code[dealt].astype(np.uint64) * blocks.ODD)
                     for c, q, s, a, e, x, y, z in zip(ctx.tolist(), part_of.tolist(), start.tolist(), core.tolist(),
                                                       stop.tolist(), dlo.tolist(), dhi.tolist(), code.tolist(),
                                                       strict=True):
@@ -367,7 +371,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     met = (met.groupBy("h").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.count(F.lit(1)).alias("n"))
            .filter("lo <> hi").select("h", "n"))
     met = stored(met, "blocks")
-    total = met.agg(F.sum("n")).first()[0] or 0
+    cells = (length - length // 2) // CELL + 1  # most records of an anchor of a hot block
+    total = met.agg(F.sum(F.col("n") * F.when(F.col("n") >= HOT, cells).otherwise(1))).first()[0] or 0
     again = spark.sparkContext.broadcast(blocks.bloom(met.select("h"), BLOOM_BITS))
     hot = spark.sparkContext.broadcast(blocks.bloom(met.filter(F.col("n") >= HOT).select("h"), BLOOM_BITS - 4))
     parts = max(1, total * int(1.5 * length) // GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
