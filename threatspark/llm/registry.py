@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, jaccard, langid, lm, neardup, packing, repeats, shards, warc
+from . import ann, ballkmeans, bpe, chat, jaccard, langid, lm, neardup, packing, repeats, shards, warc
 
 QUERIES = {
     "op1_multi_index_hashing": ann.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_suffix_dedup": repeats.query,
     "op10_ngram_jaccard": jaccard.query,
     "op11_hash_tree": shards.query,
+    "op13_ball_kmeans": ballkmeans.query,
 }
 
 #: The others have no entry: learned codes and trees, tokenizers, files and 64-bit shingle sets have no SQL
 #: that runs on whole tables; tests/llm compares each query with a brute-force version.
 ORACLE: dict[str, str] = {
     "op11_hash_tree": shards.oracle(),
+    "op13_ball_kmeans": ballkmeans.oracle(),
 }
