@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop_path, map_arrow, new_path, read_table, stored
+from .common import drop_path, map_arrow, read_table, stored, stored_at
 from .ints import dimension, distances, integers
 
 SCALE = 1024
@@ -199,12 +199,6 @@ def _round(parts: list[Part], dim: int, label: pa.DataType, last: bool):
     return run
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 @dataclass
 class Codebooks:
     parts: list[np.ndarray]
@@ -228,7 +222,7 @@ def fit_codes(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     head = f"vec_id bigint, label {kind.simpleString()}"
     dim = dimension(df, vec_col)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
-    now, path = _written(map_arrow(rows, _prepared(dim, scale), f"{head}, {OWN}"), "vectors")
+    now, path = stored_at(map_arrow(rows, _prepared(dim, scale), f"{head}, {OWN}"), "vectors")
     # a bounded read: as many rows as there are entries
     least = now.orderBy(F.asc_nulls_last("vec_id"), "vec").limit(entries).select("vec").toArrow().column(0).to_pylist()
     if not least:
@@ -239,7 +233,7 @@ def fit_codes(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     books = [Part(b) for b in cut(first, parts)]
     as_arrow, work = to_arrow_type(kind), []
     for _ in range(rounds):
-        new, to = _written(map_arrow(now, _round(books, dim, as_arrow, False), f"{head}, {OWN}, {SUMS}"), "codes")
+        new, to = stored_at(map_arrow(now, _round(books, dim, as_arrow, False), f"{head}, {OWN}, {SUMS}"), "codes")
         drop_path(df.sparkSession, path)
         width = books[0].book.shape[1]
         got = (new.filter("part is not null").groupBy("part", "entry")

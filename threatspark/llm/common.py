@@ -88,15 +88,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` and the folder, for callers that drop it (``drop_path``) when it is used up."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, and a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, name)[0]
 
 
 def crc_fold(id_col: str, n: int) -> Column:

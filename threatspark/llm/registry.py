@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, ballkmeans, bpe, chat, jaccard, langid, lm, neardup, packing, repeats, shards, warc
+from . import ann, ballkmeans, bpe, chat, jaccard, langid, lm, neardup, negatives, packing, repeats, shards, warc
 
 QUERIES = {
     "op1_multi_index_hashing": ann.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": repeats.query,
     "op10_ngram_jaccard": jaccard.query,
     "op11_hash_tree": shards.query,
+    "op12_inverted_multi_index": negatives.query,
     "op13_ball_kmeans": ballkmeans.query,
 }
 
@@ -23,5 +24,6 @@ QUERIES = {
 #: that runs on whole tables; tests/llm compares each query with a brute-force version.
 ORACLE: dict[str, str] = {
     "op11_hash_tree": shards.oracle(),
+    "op12_inverted_multi_index": negatives.oracle(),
     "op13_ball_kmeans": ballkmeans.oracle(),
 }
