@@ -45,11 +45,11 @@ def test_phishing_scripts(spark):
         "doc_id", F.col("url_length").alias("URL_Length"),
         F.col("request_url").alias("Request_URL"),
         F.col("result").cast("string").alias("Result"))
-    imp = PH.rank_features(ph.drop("doc_id"), rounds=5)
+    imp = PH.rank_features(ph.drop("doc_id"))
     assert imp.count() >= 1 and set(imp.columns) == {"Feature", "Importance"}
     grid = {"n_estimators": [3], "max_depth": [2], "learning_rate": [0.1],
             "subsample": [1.0], "colsample_bytree": [1.0]}
-    cvm, report, acc = PH.train_model(ph.drop("doc_id"), ["URL_Length", "Request_URL"],
+    found, report, acc = PH.train_model(ph.drop("doc_id"), ["URL_Length", "Request_URL"],
                                       grid=grid, n_iter=1, folds=2)
     assert 0.0 <= acc <= 1.0 and report.where("class = 'accuracy'").count() == 1
 

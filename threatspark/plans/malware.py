@@ -33,12 +33,12 @@ def normalise(df: DataFrame, exclude: Sequence[str] = (), fit_rows: DataFrame |
 
 
 def rank_features(norm: DataFrame, key_cols: Sequence[str], label: str = LABEL,
-                  seed=42, keep_above: float = I.MALWARE_IMPORTANCE_KEEP_ABOVE) -> DataFrame:
+                  seed=42, keep_above: float = I.MALWARE_IMPORTANCE_KEEP_ABOVE, **forest) -> DataFrame:
     """M2 + M3: forest importance on the 80 % training part, keep > 0.01."""
     split = S.train_test(norm, key_cols, seed, test=0.2)
     feats = [c for c in C.numeric_columns(norm) if c not in (*key_cols, label)]
     train = split.where("is_train").withColumn(label, C.q(label).cast("string"))
-    imp = I.forest_importance(train, feats, label, seed=None, decimals=10)
+    imp = I.forest_importance(train, feats, label, seed=seed, decimals=10, key_cols=key_cols, **forest)
     return I.prune_by_importance(imp, above=keep_above)
 
 

@@ -46,19 +46,19 @@ def rank_features(df: DataFrame, key: str = "row_id", rounds: int = I.BOOST_ROUN
     train = split.where("is_train")
     st = fit_standardize(train, feats)
     model = I.boosted_fit(apply_standardize(train, st), feats, TARGET_DUMMY, rounds=rounds)
-    return I.split_count_importance(model, feats)
+    return model.split_counts(df.sparkSession)
 
 
 def train_model(df: DataFrame, top: Sequence[str], key: str = "row_id", **search):
     """Random-searched boosted trees on the ``top`` base features.
-    Returns (CrossValidatorModel, test report, test accuracy)."""
+    Returns (the search, test report, test accuracy)."""
     df = with_key(C.to_numeric(C.decode_bytes(df), [*top, TARGET]), key)
     d = C.select_features(df, [key, *top, TARGET])
     d = L.map_values(d, TARGET, L.PHISHING_TARGET_CODES, out="label")
     split = S.train_test(d, [key], SPLIT_SEED, test=0.2)
     k = search.pop("folds", MD.SEARCH_FOLDS)
     train = S.stratified_folds(split.where("is_train"), "label", [key], k, seed=SPLIT_SEED)
-    cvm = MD.random_search(train, list(top), "label", fold="fold", folds=k, **search)
-    test = cvm.transform(split.where("NOT is_train").withColumn("label", F.col("label")
-                                                                 .cast("double")))
-    return cvm, M.classification_report(test), M.accuracy(test).first()[0]
+    found = MD.random_search(train, list(top), "label", fold="fold", folds=k, **search)
+    test = found.best.score(split.where("NOT is_train").withColumn("label", F.col("label").cast("double")))
+    test = test.withColumn("prediction", (F.col("p") > 0.5).cast("double"))
+    return found, M.classification_report(test), M.accuracy(test).first()[0]

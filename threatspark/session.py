@@ -68,6 +68,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package when the driver found it by path.
+
+    On a cluster the package is installed or shipped; the extra path entry
+    then names nothing and does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
