@@ -55,7 +55,7 @@ def test_complete_graph_counts(spark):
 
 def test_forward_matches_numpy(spark):
     nodes = fx.nodes(spark, SF001)
-    w = gcn_weights(spark)
+    w = gcn_weights(spark, 64)
     out = {r["chunk_id"]: r for r in G.gcn_forward_complete(nodes, w).collect()}
     wrows = w.collect()
     W1 = np.zeros((64, 16)); b1 = np.zeros(16); W2 = np.zeros((16, 2)); b2 = np.zeros(2)

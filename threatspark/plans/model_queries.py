@@ -1,4 +1,4 @@
-"""Queries of the tree models (M1-M3, M5-M7) and SQL that repeats their fits.
+"""Queries of trees (M1-M3, M5-M7), networks (M8, M9, M13, S15) and graphs (M11, M12), and SQL that repeats their fits.
 
 The SQL grows the same trees: a chain of common table expressions, a few for
 each level. Sums are integers on both sides, so splits agree exactly.
@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import labels as L
+from ..operators import graph as G
 from ..operators import importance as I
+from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import networks as N
 from ..operators import sampling as S
 from ..operators import trees as T
 from ..operators.transforms import dummies
+from . import flow as FL
 from . import malware as MW
-from .registry import (FLOW_CLEAN_SQL, FLOW_FEATS, KEY, KEY_SQL, MAL_COLS, MAL_UNION_SQL, PH_CAT, PH_VALUES, UNDER_SQL,
-                       flows_sampled, malware_union, oracle, query, r6)
+from .registry import (FLOW_CLEAN_SQL, FLOW_FEATS, KEY, KEY_SQL, MAL_COLS, MAL_UNION_SQL, PATH_EDGES_SQL, PH_CAT,
+                       PH_VALUES, UNDER_SQL, WEIGHT_SQL, flows_sampled, gcn_weights, malware_union, nodes_df, oracle, path_edges, query, r6)
 
 
 def mixed_sql(e: str) -> str:
@@ -272,3 +276,130 @@ def q_phish_search(spark, sf):
     return found.results.select("setting", "rounds", "depth", "step", "subsample", "colsample",
                                 F.transform("fold_accuracy", lambda a: F.round(a, 6)).alias("fold_accuracy"),
                                 r6("mean_accuracy").alias("mean_accuracy"), r6("std_accuracy").alias("std_accuracy"), "place")
+
+
+# ---------------------------------------------------------------- M8, M9, S15
+
+STEP_COLS = ["x0", "x1", "x2"]
+STEPS, STEP_RATE = 4, 0.1
+FOCAL = N.Objective(N.FOCAL_GAMMA, N.FOCAL_ALPHA)
+
+
+def scaled_flows(spark, sf):
+    """The sampled flows with three columns near one, a 0/1 label and a fifth of them held out by key."""
+    return flows_sampled(spark, sf).select(
+        *KEY, (F.col("fwd_packet_length_max") / 50).alias("x0"), (F.col("flow_iat_mean") * 10).alias("x1"),
+        (F.col("flow_iat_min") * 10).alias("x2"), (F.col("traffic_type") == "Attack").cast("int").alias("y"),
+        (T.row_key(KEY) % 5 == 0).alias("held"))
+
+
+def focal_sql() -> str:
+    """Adam steps on the focal loss of a logistic model, an epoch for each pair of expressions."""
+    start, _ = N.ResidualNet(len(STEP_COLS), ()).start(42)
+    eps, g, a = N.EPSILON, FOCAL.gamma, FOCAL.alpha
+    names = ["w0", "w1", "w2", "b"]
+    loss = (f"-CASE WHEN y = 1 THEN {a} * pow(1 - p, {g}) * ln(p + {eps}) ELSE {1 - a} * pow(p, {g}) * ln(1 - p + {eps}) END")
+    one = f"{a} * ({g} * pow(1 - p, {g - 1}) * ln(p + {eps}) - pow(1 - p, {g}) / (p + {eps}))"
+    zero = f"{1 - a} * (pow(p, {g}) / (1 - p + {eps}) - {g} * pow(p, {g - 1}) * ln(1 - p + {eps}))"
+    parts = [f"""
+data AS MATERIALIZED (
+  SELECT fwd_packet_length_max / 50 AS x0, flow_iat_mean * 10 AS x1, flow_iat_min * 10 AS x2,
+    (traffic_type = 'Attack')::INT AS y, {key_sql(KEY_SQL)} % 5 = 0 AS held FROM sampled),
+e0 AS (SELECT {', '.join(f'{float(v)!r}::DOUBLE AS {n}, 0::DOUBLE AS m_{n}, 0::DOUBLE AS v_{n}' for n, v in zip(names, start, strict=True))})"""]
+    for t in range(1, STEPS + 1):
+        sums = ", ".join(f"sum(d * {x}) FILTER (NOT held) / count(*) FILTER (NOT held) AS g_{n}"
+                         for n, x in zip(names, [*STEP_COLS, "1"], strict=True))
+        moved = ", ".join(f"0.9 * m_{n} + 0.1 * g_{n} AS m_{n}, 0.999 * v_{n} + 0.001 * g_{n} * g_{n} AS v_{n}, {n}" for n in names)
+        new = ", ".join(f"{n} - {STEP_RATE} * (m_{n} / (1 - pow(0.9, {t}))) / (sqrt(v_{n} / (1 - pow(0.999, {t}))) + 1e-7) AS {n}, m_{n}, v_{n}"
+                        for n in names)
+        parts.append(f"""
+p{t} AS MATERIALIZED (SELECT data.*, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + b))) AS p FROM data, e{t - 1}),
+d{t} AS MATERIALIZED (SELECT *, {loss} AS loss, (CASE WHEN y = 1 THEN {one} ELSE {zero} END) * p * (1 - p) AS d FROM p{t}),
+s{t} AS MATERIALIZED (
+  SELECT {t} AS epoch, avg(loss) FILTER (NOT held) AS loss, avg(((p > 0.5) = (y = 1))::INT) FILTER (NOT held) AS accuracy,
+    avg(loss) FILTER (held) AS val_loss, avg(((p > 0.5) = (y = 1))::INT) FILTER (held) AS val_accuracy, {sums} FROM d{t}),
+e{t} AS MATERIALIZED (SELECT {new} FROM (SELECT {moved} FROM e{t - 1}, s{t}))""")
+    return ",".join(parts)
+
+
+@query("focal_history", oracle(["flows"], " UNION ALL ".join(
+    f"SELECT epoch, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(val_loss, 6) AS val_loss, "
+    f"round(val_accuracy, 6) AS val_accuracy FROM s{t}" for t in range(1, STEPS + 1)),
+    FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + focal_sql()))
+def q_focal_history(spark, sf):
+    """M8 + S15: focal loss and accuracies of each Adam step of a logistic model on the sampled flows."""
+    model = N.fit_network(scaled_flows(spark, sf), STEP_COLS, "y", KEY, "held", hidden=(), objective=FOCAL, epochs=STEPS, rate=STEP_RATE)
+    return N.history_table(spark, model.state).select("epoch", *[r6(c).alias(c) for c in ("loss", "accuracy", "val_loss", "val_accuracy")])
+
+
+@query("network_history")
+def q_network_history(spark, sf):
+    """M8 + S15: the residual network on the prepared flows, warm-up and focal epochs, held-out loss, early stop."""
+    prepared, state = FL.prepare_flows(fx.flows(spark, sf), KEY, label="label", identifiers=["flow_ts"], redundant=[],
+                                       drop_low_importance=["rare_zero"])
+    d = prepared.withColumnRenamed(L.TRAFFIC_TYPE, "y").withColumn("held", ~F.col("is_train"))
+    model = N.fit_network(d, state.features, "y", KEY, "held", epochs=12, warmup=3, rate=0.01, class_weight="balanced")
+    return N.history_table(spark, model.state)
+
+
+@query("network_scores")
+def q_network_scores(spark, sf):
+    """M8 + M10: held-out scores of the focal network at its best epoch."""
+    d = scaled_flows(spark, sf)
+    model = N.fit_network(d, STEP_COLS, "y", KEY, "held", epochs=8, rate=0.02)
+    return model.score(d.filter("held")).select(*KEY, "y", r6("p").alias("p"), "decision")
+
+
+@query("network_cv")
+def q_network_cv(spark, sf):
+    """M9: five-fold cross-validation of the focal network, then A14's summary of it."""
+    d = S.stratified_folds(scaled_flows(spark, sf), "y", KEY, 5, seed=42)
+    return M.cv_summary(N.cv_network(d, STEP_COLS, "y", KEY, "fold", 5, epochs=4, rate=0.05))
+
+
+# ---------------------------------------------------------------- M11 - M13
+
+
+@query("graph_propagate_vectors", oracle(["nodes"], """
+SELECT node_id, CAST(j AS INTEGER) AS j, round(x, 6) AS x FROM prop""", PATH_EDGES_SQL))
+def q_graph_propagate_vectors(spark, sf):
+    """M11 with a row per node: id neighbours in a chunk."""
+    n = nodes_df(spark, sf)
+    out = G.edge_propagation(n, path_edges(n))(n.select("node_id", F.col("features").cast("array<double>").alias("h")), G.vector_width(n))
+    return out.select("node_id", F.posexplode("h").alias("j", "x")).select("node_id", "j", r6("x").alias("x"))
+
+
+EDGE_FORWARD_SQL = """
+el1 AS (SELECT prop.node_id, w.j, greatest(sum(prop.x * w.w) + max(b.w), 0) AS x FROM prop
+        JOIN wt w ON w.layer = 1 AND w.i = prop.j JOIN wt b ON b.layer = 1 AND b.i = -1 AND b.j = w.j GROUP BY ALL),
+ep AS (SELECT e2.dst AS node_id, el1.j, sum(el1.x / sqrt(ds.d * dd.d)) AS x FROM e2
+       JOIN deg ds ON ds.n = e2.src JOIN deg dd ON dd.n = e2.dst JOIN el1 ON el1.node_id = e2.src GROUP BY ALL),
+ez AS (SELECT ep.node_id, w.j, sum(ep.x * w.w) + max(b.w) AS x FROM ep
+       JOIN wt w ON w.layer = 2 AND w.i = ep.j JOIN wt b ON b.layer = 2 AND b.i = -1 AND b.j = w.j GROUP BY ALL),
+elp AS (SELECT node_id, j, x - max(x) OVER w - ln(sum(exp(x)) OVER w / exp(max(x) OVER w)) AS lp FROM ez WINDOW w AS (PARTITION BY node_id))"""
+
+
+@query("graph_forward_edges", oracle(["nodes"], """
+SELECT node_id, round(max(CASE WHEN j = 0 THEN lp END), 6) AS logp0, round(max(CASE WHEN j = 1 THEN lp END), 6) AS logp1,
+       CAST(arg_max(j, lp) AS INTEGER) AS prediction FROM elp GROUP BY node_id""", PATH_EDGES_SQL + "," + WEIGHT_SQL + "," + EDGE_FORWARD_SQL))
+def q_graph_forward_edges(spark, sf):
+    """M12 over given edges."""
+    n = nodes_df(spark, sf)
+    out = G.gcn_forward(n, path_edges(n), gcn_weights(spark, G.vector_width(n)))
+    return out.select("node_id", r6(F.col("logp")[0]).alias("logp0"), r6(F.col("logp")[1]).alias("logp1"), "prediction")
+
+
+@query("node_history")
+def q_node_history(spark, sf):
+    """M13 + S15: epochs of the graph network over given edges, loss and accuracy on both masks."""
+    n = S.chunk_masks(nodes_df(spark, sf), "chunk_id", ["node_id"], 0.8, seed=0)
+    model = N.fit_nodes(n, G.edge_propagation(n, path_edges(n)), G.vector_width(n), epochs=8, rate=0.05)
+    return N.history_table(spark, model.state)
+
+
+@query("node_early_stop")
+def q_node_early_stop(spark, sf):
+    """M13 + W1: where the history of the graph network on complete chunks stops."""
+    n = S.chunk_masks(nodes_df(spark, sf), "chunk_id", ["node_id"], 0.8, seed=0)
+    model = N.fit_nodes(n, G.chunk_propagation(n), G.vector_width(n), epochs=8, rate=0.05, patience=3)
+    return M.early_stop(N.history_table(spark, model.state), patience=3)

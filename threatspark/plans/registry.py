@@ -503,9 +503,6 @@ def q_malware_graph_nodes(spark, sf):
 
 # ---------------------------------------------------------------- graph
 
-NODE_F = 64
-
-
 def nodes_df(spark, sf):
     return fx.nodes(spark, sf)
 
@@ -539,11 +536,11 @@ SELECT node_id, chunk_id, CAST(label AS BIGINT) AS label, is_train,
        round(list_sum(list_transform(features, lambda x: CAST(x AS DOUBLE))), 4) AS feature_sum
 FROM masked""", MASK_SQL))
 def q_graph_build(spark, sf):
-    """M14 from a wide table: the embeddings unpacked into 64 columns first."""
+    """M14 from a wide table: the embeddings unpacked into a column per value first."""
     em = fx.nodes(spark, sf)
-    wide = em.select("node_id", "label",
-                     *[F.col("features")[i].alias(f"f{i}") for i in range(NODE_F)])
-    g = G.build_graph(wide, [f"f{i}" for i in range(NODE_F)], "node_id", "label", chunk=50)
+    width = G.vector_width(em)
+    wide = em.select("node_id", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(width)])
+    g = G.build_graph(wide, [f"f{i}" for i in range(width)], "node_id", "label", chunk=50)
     fsum = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return g.select("node_id", "chunk_id", "label", "is_train", F.round(fsum, 4).alias("feature_sum"))
 
@@ -583,7 +580,7 @@ def q_graph_propagate(spark, sf):
 
 @query("graph_chunk_mean", oracle(["nodes"], """
 SELECT chunk_id, CAST(i - 1 AS INTEGER) AS j, round(avg(CAST(features[i] AS DOUBLE)), 6) AS h
-FROM nodes, range(1, 65) t(i) GROUP BY ALL"""))
+FROM (SELECT chunk_id, features, unnest(range(1, len(features) + 1)) AS i FROM nodes) GROUP BY ALL"""))
 def q_graph_chunk_mean(spark, sf):
     out = G.chunk_mean(nodes_df(spark, sf))
     return out.select("chunk_id", F.col("j").cast("int").alias("j"), r6("h").alias("h"))
@@ -591,11 +588,11 @@ def q_graph_chunk_mean(spark, sf):
 
 WEIGHT_SQL = """
 wt AS (SELECT 1 AS layer, i, j, ((i * 31 + j * 17) % 19 - 9) / 10.0 AS w
-       FROM range(-1, 64) a(i), range(16) b(j)
+       FROM (SELECT unnest(range(-1, (SELECT max(len(features)) FROM nodes))) AS i) a, range(16) b(j)
        UNION ALL
        SELECT 2, i, j, ((i * 31 + j * 17) % 19 - 9) / 10.0 FROM range(-1, 16) a(i), range(2) b(j)),
 cm AS (SELECT chunk_id, i - 1 AS j, avg(CAST(features[i] AS DOUBLE)) AS x
-       FROM nodes, range(1, 65) t(i) GROUP BY ALL),
+       FROM (SELECT chunk_id, features, unnest(range(1, len(features) + 1)) AS i FROM nodes) GROUP BY ALL),
 h1 AS (SELECT cm.chunk_id, w.j, greatest(sum(cm.x * w.w) + max(b.w), 0) AS x
        FROM cm JOIN wt w ON w.layer = 1 AND w.i = cm.j
        JOIN wt b ON b.layer = 1 AND b.i = -1 AND b.j = w.j GROUP BY cm.chunk_id, w.j),
@@ -610,8 +607,7 @@ fwd AS (SELECT chunk_id, max(CASE WHEN j = 0 THEN lp END) AS logp0,
                CAST(arg_max(j, lp) AS INTEGER) AS prediction FROM lp GROUP BY chunk_id)"""
 
 
-def gcn_weights(spark: SparkSession, n_in: int = NODE_F, hidden: int = 16, out: int = 2
-                ) -> DataFrame:
+def gcn_weights(spark: SparkSession, n_in: int, hidden: int = 16, out: int = 2) -> DataFrame:
     """The fixed weight table, generated by Spark from a rule."""
     def layer(lay, n_i, n_o):
         g = spark.range(0, (n_i + 1) * n_o).select(
@@ -625,14 +621,15 @@ def gcn_weights(spark: SparkSession, n_in: int = NODE_F, hidden: int = 16, out:
 SELECT chunk_id, round(logp0, 6) AS logp0, round(logp1, 6) AS logp1, prediction FROM fwd""",
     WEIGHT_SQL))
 def q_graph_forward(spark, sf):
-    out = G.gcn_forward_complete(nodes_df(spark, sf), gcn_weights(spark))
+    n = nodes_df(spark, sf)
+    out = G.gcn_forward_complete(n, gcn_weights(spark, G.vector_width(n)))
     return out.select("chunk_id", r6(F.col("logp")[0]).alias("logp0"),
                       r6(F.col("logp")[1]).alias("logp1"), "prediction")
 
 
 def scored_nodes(spark, sf):
     n = S.chunk_masks(nodes_df(spark, sf), "chunk_id", ["node_id"], 0.8, seed=0)
-    fwd = G.gcn_forward_complete(n, gcn_weights(spark))
+    fwd = G.gcn_forward_complete(n, gcn_weights(spark, G.vector_width(n)))
     return n.select("node_id", "chunk_id", "label", "is_train").join(fwd, "chunk_id")
 
 
