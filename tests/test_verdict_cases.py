@@ -9,7 +9,7 @@ from threatspark.operators import metrics as M
 from threatspark.operators import sampling as S
 from threatspark.operators.transforms import QuantileModel, category_values
 from threatspark.session import ensure_checkpoint_dir
-from threatspark.sources.arff import arff_attributes, read_arff
+from threatspark.sources.arff import header, read_arff
 from threatspark.sources.readers import sink_sizes
 
 
@@ -63,7 +63,7 @@ def test_arff_rows_that_start_with_a_directive_sign(spark, scratch):
     with open(path, "w") as f:
         f.write("@relation r\n% note\n@attribute name string\n@attribute n numeric\n@DATA\n@host,1\n% skipped\n"
                 "@attribute,2\n@data,3\nplain,?\n")
-    assert arff_attributes(spark, path) == [("name", "string"), ("n", "numeric")]
+    assert [(a.name, a.numeric) for a in header(path)[0]] == [("name", False), ("n", True)]
     got = [tuple(r) for r in read_arff(spark, path).collect()]
     assert got == [("@host", 1.0), ("@attribute", 2.0), ("@data", 3.0), ("plain", None)]
 

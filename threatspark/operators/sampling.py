@@ -13,7 +13,10 @@ would put all rows in one task, so the rank is built in two levels:
    gives each bucket's offset;
 3. rank = bucket offset + ``row_number()`` inside (class, bucket).
 
-The big table is shuffled once, on (class, bucket), for the window inside
+Where only the first k rows matter (K1-K3, K6), no rank is needed: ``first_rows`` finds the
+cut-off row from counts per hash prefix, and rows are kept or marked in place.
+
+For ranks, the big table is shuffled once, on (class, bucket), for the window inside
 the bucket; the counts are a partial aggregate that moves one row per bucket
 and task.
 """
@@ -161,17 +164,76 @@ def undersample_sizes(counts: dict, ratio: float) -> tuple:
     return minor, n_min, major, keep
 
 
+#: Hex digits of the hash by which rows are first counted, and the rows among which a cut is then looked up.
+CUT_DIGITS, CUT_ROWS = 4, 10_000
+
+
+def _prefix(h: Column, digits: int) -> Column:
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
+
+
+def prefix_counts(df: DataFrame, key_cols: Sequence[str], seed, by: Sequence[str] = (),
+                  hash_col: str | None = None) -> dict:
+    """{group: {hash prefix: rows}} in one aggregate (at most 16**CUT_DIGITS rows per group)."""
+    h = F.col(hash_col) if hash_col else hash_key(seed, key_cols)
+    out: dict = {}
+    for r in df.groupBy(*[q(b) for b in by], _prefix(h, CUT_DIGITS).alias("_ts_p")).count().collect():
+        out.setdefault(tuple(r[: len(by)]), {})[r["_ts_p"]] = r["count"]
+    return out
+
+
+def first_rows(df: DataFrame, key_cols: Sequence[str], seed, k: int, counts: dict,
+               hash_col: str | None = None) -> Column | None:
+    """The condition that holds for the ``k`` rows of ``df`` with the smallest (md5, key).
+
+    ``counts``: rows per hash prefix, which tell the prefix that holds the cut; rows of that
+    prefix alone are counted by longer ones until few are left, and these give the
+    cut-off row. Rows are then kept in place: none is shuffled. None if rows of equal keys lie on
+    both sides of the cut, which no condition on the key can part.
+    """
+    n = sum(counts.values())
+    if k >= n:
+        return F.lit(True)
+    if k <= 0:
+        return F.lit(False)
+    h = F.col(hash_col) if hash_col else hash_key(seed, key_cols)
+    digits, rest, inside = CUT_DIGITS, k, F.lit(True)
+    while True:
+        for p in sorted(counts):
+            if rest <= counts[p]:
+                break
+            rest -= counts[p]
+        inside = inside & (_prefix(h, digits) == F.lit(p))
+        if counts[p] <= CUT_ROWS or digits >= 12:
+            break
+        digits += CUT_DIGITS
+        counts = {r[0]: r[1] for r in df.where(inside).groupBy(_prefix(h, digits).alias("_ts_p")).count().collect()}
+    keys = [q(c) for c in key_cols]
+    names = [f"_ts_k{i}" for i in range(len(keys))]
+    near = df.where(inside).select(h.alias("_ts_h"), *[c.alias(m) for c, m in zip(keys, names)])
+    rows = near.orderBy("_ts_h", *names).limit(rest + 1).collect()      # at most CUT_ROWS + 1 of them
+    cut = rows[rest - 1]
+    if len(rows) > rest and rows[rest] == cut:
+        return None
+    own = F.struct(*[c.alias(m) for c, m in zip(keys, names)])
+    at = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(m) for v, c, m in zip(cut[1:], key_cols, names)])
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (own <= at))
+
+
 def undersample(df: DataFrame, label: str, key_cols: Sequence[str], ratio: float = 0.85,
-                seed=10, counts: dict | None = None, hash_col: str | None = None
-                ) -> DataFrame:
+                seed=10, hash_col: str | None = None) -> DataFrame:
     """K1: two-class random undersampling to minority/majority = ``ratio``.
 
     Keeps every minority row and ``floor(n_min / ratio)`` majority rows (the
-    smallest md5 keys). Raises when that exceeds the majority size.
+    smallest md5 keys), by a cut-off filter in place. Raises when that exceeds the majority size.
     """
-    counts = class_counts(df, label) if counts is None else counts
+    prefixes = prefix_counts(df, key_cols, seed, [label], hash_col)
+    counts = {k[0]: sum(v.values()) for k, v in prefixes.items()}
     minor, _, major, keep = undersample_sizes(counts, ratio)
     major_rows = df.where(q(label) == F.lit(major))
+    first = first_rows(major_rows, key_cols, seed, keep, prefixes[major,], hash_col)
+    if first is not None:
+        return df.where((q(label) == F.lit(minor)) | ((q(label) == F.lit(major)) & first))
     ranked = hash_rank(major_rows, key_cols, seed, out="_ts_rank", hash_col=hash_col,
                        n_rows=counts[major])
     kept = ranked.where(F.col("_ts_rank") <= keep).drop("_ts_rank")
@@ -189,12 +251,15 @@ def split_sizes(n: int, train: float | None = None, test: float | None = None) -
 
 
 def train_test(df: DataFrame, key_cols: Sequence[str], seed, train: float | None = None,
-               test: float | None = None, out: str = "is_train", n: int | None = None,
-               hash_col: str | None = None) -> DataFrame:
-    """K2/K3: shuffled, not stratified, exact-size split. Adds boolean ``out``.
-    ``n`` (the row count) saves a counting pass when the caller knows it."""
-    n = df.count() if n is None else n
+               test: float | None = None, out: str = "is_train", hash_col: str | None = None) -> DataFrame:
+    """K2/K3: shuffled, not stratified, exact-size split. Adds boolean ``out``, by a cut-off in
+    place (rows of equal keys on both sides of the cut are ranked instead)."""
+    counts = prefix_counts(df, key_cols, seed, hash_col=hash_col).get((), {})
+    n = sum(counts.values())
     n_train, _ = split_sizes(n, train, test)
+    first = first_rows(df, key_cols, seed, n_train, counts, hash_col)
+    if first is not None:
+        return df.withColumn(out, first)
     ranked = hash_rank(df, key_cols, seed, out="_ts_rank", hash_col=hash_col, n_rows=n)
     return ranked.withColumn(out, F.col("_ts_rank") <= n_train).drop("_ts_rank")
 
@@ -224,6 +289,13 @@ def shuffle(df: DataFrame, key_cols: Sequence[str], seed=42, out: str = "pos") -
     return hash_rank(df, key_cols, seed, out=out)
 
 
+def shuffled_tail(df: DataFrame, key_cols: Sequence[str], seed=42, frac: float = 0.2,
+                  out: str = "is_validation") -> DataFrame:
+    """L3 + K6: the last ``frac`` of the shuffled rows are validation, without ranking the rows."""
+    split = train_test(df, key_cols, seed, test=frac, out="_ts_first")
+    return split.withColumn(out, ~F.col("_ts_first")).drop("_ts_first")
+
+
 def tail_split(df: DataFrame, pos: str = "pos", frac: float = 0.2,
                out: str = "is_validation") -> DataFrame:
     """K6: the last ``frac`` of rows (by dense position ``pos``) are validation."""

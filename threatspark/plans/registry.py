@@ -280,8 +280,7 @@ def q_flow_shuffle(spark, sf):
 SELECT {KEY_SQL}, row_number() OVER (ORDER BY {md5_sql(42)}, {KEY_SQL})
        > floor(count(*) OVER () * 0.8) AS is_validation FROM flows"""))
 def q_flow_tail_split(spark, sf):
-    d = S.shuffle(fx.flows(spark, sf).select(*KEY), KEY, 42)
-    return S.tail_split(d, "pos", 0.2).drop("pos")
+    return S.shuffled_tail(fx.flows(spark, sf).select(*KEY), KEY, 42)
 
 
 @query("flow_sample_10k", oracle(["flows"], f"""
