@@ -1023,4 +1023,4 @@ def q_node_classifier(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-from . import model_queries  # noqa: E402, F401  registers the queries whose SQL repeats a model fit
+from . import io_queries, model_queries  # noqa: E402, F401  register further queries
