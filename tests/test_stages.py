@@ -18,8 +18,8 @@ def raw(spark):
 
 
 def test_flow_pipeline_is_one_object(spark, raw, scratch):
-    tail = [assembler(["a", "b"]), LogisticRegression(featuresCol="features", labelCol="traffic type", maxIter=5)]
-    fitted = G.flow_pipeline(tail, keep=["row_id"], quantiles=20).fit(raw.na.fill(0.0, ["a"]))
+    tail = [G.ImputeMean(cols=["a", "b"]), assembler(["a", "b"]), LogisticRegression(featuresCol="features", labelCol="traffic type", maxIter=5)]
+    fitted = G.flow_pipeline(tail, keep=["row_id"], quantiles=20).fit(raw)
     fitted.write().overwrite().save(f"{scratch}/m")
     back = PipelineModel.load(f"{scratch}/m")
     assert [type(s).__name__ for s in back.stages[:6]] == ["InfinitiesToNull", "DropColumns", "DropColumns", "LabelToInt", "DropColumns",
