@@ -13,11 +13,13 @@ from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.feature import Bucketizer, OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
+from ..session import scratch_path
 from .sampling import smallest_hash_sample
 
 # Fixed values of the reference's quantile transform.
@@ -314,12 +316,74 @@ def standardize(train: DataFrame, test: DataFrame, cols: Sequence[str]
 def category_values(df: DataFrame, cols: Sequence[str], max_categories: int | None = None
                     ) -> dict:
     """Sorted distinct non-null values per text column; each becomes a column of the
-    result. ``max_categories`` fails on columns that have more, by the exact count."""
-    r = df.agg(*[F.array_sort(F.collect_set(q(c))).alias(c) for c in cols]).first()
-    big = [c for c in cols if max_categories is not None and len(r[c]) > max_categories]
-    if big:
-        raise ValueError(f"more than {max_categories} categories to one-hot encode: {big}")
-    return {c: list(r[c]) for c in cols}
+    result. ``max_categories`` fails on columns that have more, by the exact count.
+    For columns of very many values see ``sparse_dummies``."""
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q(c).alias("v")) for i, c in enumerate(cols)])).alias("t"))
+    values = long.select("t.i", "t.v").filter("v is not null").distinct()
+    if max_categories is not None:
+        big = [cols[r.i] for r in values.groupBy("i").count().filter(F.col("count") > max_categories).collect()]
+        if big:
+            raise ValueError(f"more than {max_categories} categories to one-hot encode: {big}")
+    out: dict = {c: [] for c in cols}
+    for r in values.collect():          # one row per column of the result
+        out[cols[r.i]].append(r.v)
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(value, idx): the distinct non-null values of a column, numbered from 0 in their order.
+
+    Values are dealt out by ranges; a range's numbers follow those of the ranges before it, so
+    no task holds the dictionary.
+    """
+    path = scratch_path(df.sparkSession, "dictionary")
+    values = df.select(q(col).alias("value")).filter("value is not null").distinct()
+    parts = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("id", F.monotonically_increasing_id())
+    parts.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    part = F.shiftrightunsigned("id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row per range
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    in_part = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.withColumn("part", part).join(starts, "part")
+            .select("value", (F.col("start") + in_part).alias("idx")))
+
+
+#: Pieces that the rows of one value are dealt into when their numbers are joined to them.
+VALUE_SALTS = 8
+
+
+def sparse_dummies(df: DataFrame, cols: Sequence[str], out: str = "onehot", drop_first: bool = True
+                   ) -> tuple[DataFrame, dict[str, int]]:
+    """T6 for columns of any number of values: one sparse vector per column, ``<out>_<col>``.
+
+    Place k stands for the value numbered k (k + 1 with ``drop_first``) in the column's ``dictionary``; null, and
+    with ``drop_first`` the first value, give a vector of zeros. Returns (rows, vector size
+    per column). No value list reaches the driver; numbers are joined by value, a frequent one in pieces.
+    """
+    cols, sizes = list(cols), {}
+    for c in cols:
+        names = dictionary(df, c)
+        n = names.count()
+        width = max(n - 1 if drop_first else n, 0)
+        sizes[c] = width
+        salts = F.explode(F.sequence(F.lit(0), F.lit(VALUE_SALTS - 1)))
+        own = names.select(F.col("value").alias("_value"), F.col("idx").alias("_idx"), salts.alias("_salt"))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*[q(x) for x in df.columns]), F.lit(VALUE_SALTS)).cast("int"))
+        df = df.join(own, (q(c) == F.col("_value")) & (df["_salt"] == own["_salt"]), "left").drop("_value", "_salt")
+        # the encoder leaves out its last place: null and a dropped first value go there
+        code = F.col("_idx") - (1 if drop_first else 0)
+        df = df.withColumn("_code", F.when(code >= 0, code).otherwise(F.lit(width)).cast("double")).drop("_idx")
+        if width:
+            encoder = OneHotEncoder(inputCols=["_code"], outputCols=[f"{out}_{c}"], dropLast=True, handleInvalid="error")
+            last = df.sparkSession.range(width + 1).select(F.col("id").cast("double").alias("_code"))
+            df = encoder.fit(last).transform(df)
+        else:
+            df = df.withColumn(f"{out}_{c}", array_to_vector(F.array().cast("array<double>")))
+        df = df.drop("_code")
+    return df, sizes
 
 
 def dummies(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool = True,
