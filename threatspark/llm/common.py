@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,15 @@ def workers_import(spark: SparkSession) -> None:
 worker_stores: dict = {}
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):    # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn, schema: str, store: str | None = None) -> DataFrame:
     """``mapInArrow`` after making sure that workers can import ``fn``.
 
@@ -58,8 +70,9 @@ def map_arrow(df: DataFrame, fn, schema: str, store: str | None = None) -> DataF
         for name, clear in worker_stores.items():
             if name != store:
                 clear()
+        trim()
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
+        trim()
     return df.mapInArrow(run, schema)
 
 
@@ -104,6 +117,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are stored.
+
+    It does so for shuffles that nothing refers to any more. One collection
+    drops the references that Python holds, the next one finds the shuffles.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def crc_fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

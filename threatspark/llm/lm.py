@@ -25,7 +25,6 @@ other columns are ignored; without training rows every count is 0 (N = V = 0).
 
 from __future__ import annotations
 
-import gc
 import uuid
 from dataclasses import dataclass
 
@@ -35,11 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ODD, mixed
-from .common import crc_fold, map_arrow, read_table, stored, sub_batches, texts, workers_import
+from .common import crc_fold, free_shuffles, map_arrow, read_table, stored, sub_batches, texts, workers_import
 
 LEAST = 2  # least training occurrences of a node's symbol and of a context of two
 DISCOUNT = 0.75
-BLOCK_BYTES = 4 << 20  # of text in a block, about
+BLOCK_BYTES = 8 << 20  # of text in a block, about
 RANGE_KEYS = 1_000_000  # list entries summed in one group, about
 WORD, PAIR, NODE1, TRIPLE, NODE2 = range(5)  # what a request or reply is about
 INTS = ("<u1", "<u2", "<u4", "<i8")
@@ -104,6 +103,30 @@ def _blocks(id_type: pa.DataType):
     return run
 
 
+def _several(parts: list[bytes]) -> bytes:
+    return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
+
+
+def _each(x: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(x):
+        n = int.from_bytes(x[at:at + 8], "little")
+        out.append(x[at + 8:at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _packed_terms(t: np.ndarray) -> bytes:
+    """Terms of contexts: counts as integers; the parent's mass and the divergence, which only decide what is kept, as floats."""
+    return _several([*(_ints(t[:, k].astype(np.int64)) for k in (0, 1, 4)), *(_packed(t[:, k].astype("<f4")) for k in (2, 3))])
+
+
+def _terms_of(x: bytes) -> np.ndarray:
+    n, symbols, total, low, kl = _each(x)
+    return np.stack([_from_ints(n), _from_ints(symbols), _unpacked(low, "<f4").ravel(), _unpacked(kl, "<f4").ravel(), _from_ints(total)],
+                    axis=1).astype(float)
+
+
 REQUEST = "kind int, part int, block bigint, keys binary, vals binary"
 REPLY = "block bigint, kind int, part int, vals binary, known bigint"
 
@@ -117,7 +140,7 @@ def _ranged(kind: int, keys: np.ndarray, vals: np.ndarray, bits: int, block: int
     part = (keys >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     cuts = list(zip(first, [*first[1:], len(part)], strict=True))
-    pack = _ints if vals.ndim == 1 else _packed
+    pack = _ints if vals.ndim == 1 else _packed_terms
     yield pa.RecordBatch.from_pydict({
         "kind": pa.array([kind] * len(cuts), pa.int32()), "part": pa.array(part[first].astype(np.int32)),
         "block": pa.array([block] * len(cuts), pa.int64()),
@@ -174,20 +197,26 @@ class _Block:
 
     def reply(self, got: dict, kind: int, keys: np.ndarray) -> np.ndarray:
         """The sums of this block's keys, in their order."""
-        parts = [x for _, x in sorted(got.get(kind, []))]
-        if kind in (NODE1, NODE2):
-            out, parts = np.zeros(len(keys)), [_unpacked(x, "<f8").ravel() for x in parts]
-        else:
-            out, parts = np.zeros(len(keys), np.int64), [_from_ints(x) for x in parts]
+        out = np.zeros(len(keys), np.int64)
+        if len(keys):
+            out[np.argsort(keys)] = np.concatenate([_from_ints(x) for _, x in sorted(got.get(kind, []))])
+        return out
+
+    def rest(self, got: dict, kind: int, keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Weight of the parent in these contexts, 0 for no node."""
+        out = np.zeros(len(keys))
         if len(keys):
-            out[np.argsort(keys)] = np.concatenate(parts)
+            lost, symbols = (np.concatenate([_from_ints(x) for x in part])
+                             for part in zip(*(_each(x) for _, x in sorted(got.get(kind, []))), strict=True))
+            order = np.argsort(keys)
+            out[order] = np.where(symbols > 0, (lost + DISCOUNT * symbols) / np.maximum(total[order], 1), 0)
         return out
 
     def pair_prob(self, got: dict, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(root probability of words, probability at depth 1 of pairs, weight of the root per word, 0 for no node)."""
         root = (self.word_n + 1) / scale
         rest = np.zeros(len(self.words))
-        rest[self.ctx1] = self.reply(got, NODE1, self.words[self.ctx1])
+        rest[self.ctx1] = self.rest(got, NODE1, self.words[self.ctx1], self.word_n[self.ctx1])
         own = rest[self.first]
         share = np.where(self.pair_n >= LEAST, self.pair_n - DISCOUNT, 0) / np.maximum(self.word_n[self.first], 1)
         low = root[self.second]
@@ -196,7 +225,7 @@ class _Block:
     def pair_rest(self, got: dict) -> np.ndarray:
         """Weight of depth 1 in the context of each pair, 0 for no node."""
         rest = np.zeros(len(self.pair_n))
-        rest[self.ctx2] = self.reply(got, NODE2, self.pair_key[self.ctx2])
+        rest[self.ctx2] = self.rest(got, NODE2, self.pair_key[self.ctx2], self.pair_n[self.ctx2])
         return rest
 
 
@@ -231,7 +260,7 @@ def _summed(table: pa.Table) -> pa.Table:
     keys, first, at = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
     vals = table.column("vals").to_pylist()
     if kind in (NODE1, NODE2):
-        v = np.concatenate([_unpacked(x, "<f8", 5) for x in vals])
+        v = np.concatenate([_terms_of(x) for x in vals])
         total = np.zeros(len(keys))
         some = v[:, 4] > 0
         total[at[some]] = v[some, 4]
@@ -241,18 +270,19 @@ def _summed(table: pa.Table) -> pa.Table:
         low = np.maximum(1 - low, 1e-12)
         kl += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / low), 0)
         kept = (symbols > 0) & (total * kl > 0.5 * symbols * np.log(np.maximum(total, 2)))
-        out, pack = np.where(kept, (total - n + DISCOUNT * symbols) / size, 0), _packed
+        lost, symbols = np.where(kept, total - n, 0).astype(np.int64), np.where(kept, symbols, 0).astype(np.int64)
+        cuts = np.cumsum([len(x) for x in own])[:-1]
+        replies = [_several([_ints(a), _ints(b)]) for a, b in zip(np.split(lost[at], cuts), np.split(symbols[at], cuts), strict=True)]
     else:
         out = np.bincount(at, np.concatenate([_from_ints(x) for x in vals]), len(keys)).astype(np.int64)
         known = int((out > 0).sum())
-        pack = _ints
         if kind != WORD:
             out[out < LEAST] = 0
-    back = out[at]
-    if kind in (PAIR, TRIPLE):  # twice the count, one more in the first block that has the key
-        back <<= 1
-        back[first[out > 0]] += 1
-    replies = [pack(x) for x in np.split(back, np.cumsum([len(x) for x in own])[:-1])]
+        back = out[at]
+        if kind in (PAIR, TRIPLE):  # twice the count, one more in the first block that has the key
+            back <<= 1
+            back[first[out > 0]] += 1
+        replies = [_ints(x) for x in np.split(back, np.cumsum([len(x) for x in own])[:-1])]
     blocks, known = table.column("block").to_pylist(), known if kind == WORD else 0
     n = len(blocks) + 1
     return pa.table({
@@ -413,23 +443,18 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def summed(requests: DataFrame, name: str) -> DataFrame:
         return stored(requests.groupBy("kind", "part").applyInArrow(_summed, REPLY), name)
 
-    def freed() -> None:
-        """Let Spark drop the shuffle files of what is stored now."""
-        gc.collect()
-        spark._jvm.System.gc()
-
     def met(replies: DataFrame, fn, schema: str) -> DataFrame:
         own = replies.filter("block is not null")
         return data.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(fn, schema)
 
     replies = summed(map_arrow(data, _first_requests(bits), REQUEST), "counts")
-    freed()
+    free_shuffles(spark)
     vocabulary = replies.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     scale = total + vocabulary + 1
     replies = replies.union(summed(met(replies, _second_requests(bits, scale), REQUEST), "triples"))
-    freed()
+    free_shuffles(spark)
     replies = replies.union(summed(met(replies, _third_requests(bits, scale), REQUEST), "nodes"))
-    freed()
+    free_shuffles(spark)
     if out is not None:
         out.append(_gathered(met(replies, _tree_rows(scale), TREE), total, vocabulary))
     schema = f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
