@@ -117,3 +117,47 @@ def test_neardup_edges(spark, monkeypatch):
     assert got == sorted([(0, 4, 0, True), (1, 4, 0, False), (2, 4, 0, False), (2, 4, 0, False), (-1, 4, 0, False), *alone])
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     assert {r.n_links for r in neardup.near_duplicates(df.filter("embedding is null")).collect()} == {0}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 0.6])
+def test_neardup_near_the_threshold(spark, share):
+    """Pairs at cosine 0.93 to 0.95 among vectors of which a common direction makes a share of the squared norm."""
+    rng = np.random.default_rng(9)
+    dim, n = 48, 700
+    common = np.zeros(dim)
+    common[0] = 1
+    x = rng.normal(0, 1, (n, dim))
+    x = np.sqrt(share) * common + np.sqrt(1 - share) * x / np.sqrt((x * x).sum(1))[:, None]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    side = rng.normal(0, 1, (n, dim))
+    side -= (side * x).sum(1)[:, None] * x
+    cos = rng.uniform(0.9301, 0.95, n)[:, None]
+    y = cos * x + np.sqrt(1 - cos * cos) * side / np.sqrt((side * side).sum(1))[:, None]
+    both = np.vstack([x, y])
+    want = np.triu(both @ both.T >= 0.93, 1).sum()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in neardup.near_duplicates(df).collect()) / 2
+    assert want >= n and 0.98 * want <= found <= want
+
+
+def test_neardup_of_equal_vectors(spark, monkeypatch):
+    """One vector in a third of the rows is one member; names that clash with internal ones do no harm."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (60, 16))
+    x[20:40] = x[3]
+    x[40] = x[3] + 1e-3
+    rows = [(100 - i, v.tolist(), "l", 0, 1, "z") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, uid int, n int, vec string")
+    got = {r.vec_id: r for r in neardup.near_duplicates(df).collect()}
+    same = [100 - i for i in (3, *range(20, 41))]
+    assert all(got[k].n_links == 21 and got[k].component_id == min(same) for k in same)
+    assert sum(r.kept for r in got.values()) == 60 - 21
+
+
+def test_sample_skips_invalid_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 2 else [float("nan")] * 3, 1) for i in range(200)] + [(500, [1.0, 2.0, 3.0], 1), (501, [1.0, 2.0, 3.0], 1)],
+                               "vec_id long, embedding array<double>, label int")
+    x = itq.sample_vectors(df, "vec_id", "embedding", sample=2)
+    assert len(x) == 2
+    assert {r.vec_id for r in neardup.near_duplicates(df).collect() if r.n_links} == {500, 501}

@@ -2,7 +2,7 @@
 
 Valid vectors have the model's dimension, only finite components and a
 non-zero norm. The fit reads a bounded sample: the ``SAMPLE`` rows with the least
-hash of their id; everything else covers all rows.
+hash of their id among those that hold such vectors; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -56,13 +56,18 @@ def vectors(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarr
     return rows[ok], x[ok]
 
 
-def fit(df: DataFrame, id_col: str, vec_col: str, sample: int = SAMPLE, seed: int = 1):
-    """(rotation or None without a valid vector, the sample's vectors)."""
-    got = (df.filter(F.col(vec_col).isNotNull()).select(vec_col, F.xxhash64(F.col(id_col), F.lit(seed)).alias("_o"))
+def sample_vectors(df: DataFrame, id_col: str, vec_col: str, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
+    """The valid vectors among the ``sample`` rows of least hash that hold finite, not all zero components."""
+    v = F.col(vec_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    usable = v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    got = (df.filter(F.coalesce(usable, F.lit(False))).select(vec_col, F.xxhash64(F.col(id_col), F.lit(seed)).alias("_o"))
            .orderBy("_o").limit(sample).select(vec_col).toArrow())
-    _, x = vectors(got.column(0).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())))
-    if not len(x):
-        return None, x
+    return vectors(got.column(0).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())))[1]
+
+
+def learn(x: np.ndarray, seed: int = 1) -> Rotation:
+    """The rotation of a sample of vectors; other seeds give others."""
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     mean = unit.mean(0)
     c = unit - mean
@@ -78,7 +83,13 @@ def fit(df: DataFrame, id_col: str, vec_col: str, sample: int = SAMPLE, seed: in
     for _ in range(ROUNDS):
         u, _, vt = np.linalg.svd(np.where(p @ turn > 0, 1.0, -1.0).T @ p)
         turn = (u @ vt).T
-    return Rotation(dim, mean, basis @ turn), x
+    return Rotation(dim, mean, basis @ turn)
+
+
+def fit(df: DataFrame, id_col: str, vec_col: str, sample: int = SAMPLE, seed: int = 1):
+    """(rotation or None without a valid vector, the sample's vectors)."""
+    x = sample_vectors(df, id_col, vec_col, sample, seed)
+    return (learn(x, seed) if len(x) else None), x
 
 
 def substrings(codes: np.ndarray) -> np.ndarray:
