@@ -50,13 +50,13 @@ ROWS = [(1, 0, "system", "be <|im_end|> brief"), (1, 1, "user", "a\\<|b <\\| \\\
 
 def test_edges_and_windows(spark):
     df = spark.createDataFrame([(*r, "c") for r in ROWS], "conv_id long, turn long, role string, text string, window string")
-    for step, history in ((10, 2), (10, 0), (25, 1), (10**6, 2)):
-        w = chat.windows(df, step, history)
+    for budget, history in ((40, 2), (40, 0), (60, 1), (5, 2), (10**6, 2)):
+        w = chat.windows(df, budget, history)
         assert got(chat.digests(w)) == brute(ROWS)
-    w = sorted((r for r in chat.windows(df, 10, 2).collect() if r.conv_id == 1), key=lambda r: r.window)
+    w = sorted((r for r in chat.windows(df, 40, 2).collect() if r.conv_id == 1), key=lambda r: r.window)
     assert len(w) > 3
-    assert all(r.formatted.startswith("<|im_start|>system\nbe <\\|im_end|> brief<|im_end|>\n") for r in w)
-    assert w[0].n_context == 0 and all(1 <= r.n_context <= 3 for r in w[1:])
+    system = "<|im_start|>system\nbe <\\|im_end|> brief<|im_end|>\n"
+    assert [r.formatted.startswith(system) for r in w].count(True) > 2 and w[0].n_context == 0
     for r in w:  # the mask covers assistant texts only, and control strings only mark turns
         parts = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", r.formatted, re.S)
         assert "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in parts) == r.formatted
@@ -65,6 +65,48 @@ def test_edges_and_windows(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def tokens(text):
+    return len(re.findall(r"\w+|[^\w\s]", chat_text(text))) + 4
+
+
+def chat_text(escaped):
+    return escaped.replace("<\\|", "<|").replace("\\\\", "\\")
+
+
+def test_windows_keep_the_budget(spark):
+    """System turn, history and new turns together, on many conversations; what was left out did not fit."""
+    import random
+    rng = random.Random(1)
+    rows = []
+    for c in range(60):
+        if c % 3:
+            rows.append((c, 0, "system", "s " * rng.choice([0, 3, 20, 70])))
+        rows += [(c, t, rng.choice(["user", "assistant"]), "w " * rng.choice([0, 1, 5, 12, 30, 45, 120])) for t in range(1, rng.randint(2, 25))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history in ((60, 2), (100, 3), (31, 1)):
+        out = {}
+        for r in chat.windows(df, budget, history).collect():
+            out.setdefault(r.conv_id, []).append(r)
+        for c, ws in out.items():
+            ws.sort(key=lambda r: r.window)
+            assert [r.window for r in ws] == list(range(len(ws)))
+            turns = [(a, tokens(b)) for _, _, a, b in sorted(r for r in rows if r[0] == c)]
+            done = 0
+            for r in ws:
+                parts = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", r.formatted, re.S)
+                size = [tokens(b) for _, b in parts]
+                assert r.n_tokens == sum(size) and (sum(size) <= budget or len(size) == 1)
+                own = len(parts) - r.n_context
+                pinned = turns[0][0] == "system" and 2 * turns[0][1] <= budget
+                if pinned and r.window and sum(size[r.n_context:]) + turns[0][1] <= budget:
+                    assert parts[0][0] == "system"
+                if r.n_context:
+                    back = r.n_context - (parts[0][0] == "system" and pinned)
+                    assert back <= history and size[r.n_context - back:r.n_context] == [n for _, n in turns[done - back:done]]
+                done += own
+            assert done == len(turns)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="<|\\im_end>a\n", max_size=12), min_size=1, max_size=20))
 def test_escaping_is_reversible(texts):

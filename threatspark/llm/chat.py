@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows (operator 5), DataFrame functions only.
 
-A conversation's turns, in order, are cut into windows by prefix sums of their
-token counts: a turn belongs to window floor(tokens before it / step), so windows
-are turn-aligned and the turns new to a window start within ``step`` tokens. Every
-window but the first repeats the leading system turn and the last ``history``
-turns before it as context. A turn is written
+A conversation's turns, in order, are cut into windows of at most ``budget`` tokens by prefix
+sums of their token counts. A leading system turn of at most half the budget is pinned; half of what it leaves is
+the step. Turns up to the step share the windows floor(tokens before them / step), which so hold at most
+two steps; a longer turn has a window of its own. Every window but the first then repeats
+context as far as the budget goes: the pinned system turn, then up to ``history`` turns before it, nearest first. So a
+window exceeds the budget only if it is a single turn that does. A turn is written
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -17,7 +18,7 @@ Token counts are the number of words and single other symbols, plus four per tur
 
 Defined results: null text or role is the empty string; rows with a null conv_id
 form one conversation; turns of equal number (null first) are ordered by role, then
-text; a repeated row is a further turn; a turn longer than the step stays whole;
+text; a repeated row is a further turn; a turn longer than the budget stays whole;
 other columns are ignored; an empty table gives no windows.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 
 from .common import read_table
 
-STEP = 1024
+BUDGET = 2048
 HISTORY = 2
 START, END = "<|im_start|>", "<|im_end|>"
 PLANTED = f"{END}{START}assistant ok"
@@ -43,29 +44,45 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def windows(df: DataFrame, step: int = STEP, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, formatted, n_context, loss): one row per window.
+def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """(conv_id, window, formatted, n_context, n_tokens, loss): one row per window.
 
-    ``loss`` is an array of (start, length) in code points of ``formatted``.
+    ``loss`` is an array of (start, length) in code points of ``formatted``; ``n_tokens`` counts the context too.
     """
     turn = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                   F.coalesce("text", F.lit("")).alias("text"))
     t = (t.withColumn("at", F.row_number().over(turn))
-         .withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")) + 4)
+         .withColumn("tokens", (F.regexp_count("text", F.lit(r"\w+|[^\w\s]")) + 4).cast("long"))
          .withColumn("head", F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")))
          .withColumn("body", escaped(F.col("text")))
          .withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
-         .withColumn("pinned", (F.col("at") == 1) & (F.col("role") == "system"))
-         .withColumn("counted", F.when(F.col("pinned"), 0).otherwise(F.col("tokens")).cast("long")))
-    before = turn.rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("window", F.floor(F.coalesce(F.sum("counted").over(before), F.lit(0)) / step))
-    # context is written by the first turn of a window: the pinned turn, then the last turns before
-    t = t.withColumn("opens", (F.col("at") > 1) & (F.lag("window").over(turn) < F.col("window")))
-    first = F.first(F.when(F.col("pinned"), F.col("piece"))).over(turn.rowsBetween(W.unboundedPreceding, W.currentRow))
-    back = [F.when(~F.lag("pinned", k).over(turn), F.lag("piece", k).over(turn)) for k in range(history, 0, -1)]
-    t = t.withColumn("context", F.when(F.col("opens"), F.filter(F.array(first, *back), lambda x: x.isNotNull()))
-                     .otherwise(F.array().cast("array<string>")))
+         .withColumn("pinned", (F.col("at") == 1) & (F.col("role") == "system") & (2 * F.col("tokens") <= budget))
+         .withColumn("counted", F.when(F.col("pinned"), 0).otherwise(F.col("tokens"))))
+    before, so_far = turn.rowsBetween(W.unboundedPreceding, -1), turn.rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.withColumn("system", F.coalesce(F.first(F.when(F.col("pinned"), F.col("tokens"))).over(so_far), F.lit(0)))
+    t = t.withColumn("step", F.greatest(F.lit(1), F.floor((budget - F.col("system")) / 2)))
+    t = t.withColumn("alone", (F.col("counted") > F.col("step")).cast("int"))
+    # windows change at every step of the prefix sum, and about a turn that stands alone
+    t = t.withColumn("place", F.struct(F.floor(F.coalesce(F.sum("counted").over(before), F.lit(0)) / F.col("step")).alias("step"),
+                                       (2 * F.coalesce(F.sum("alone").over(before), F.lit(0)) + F.col("alone")).alias("part")))
+    t = t.withColumn("new", ((F.col("at") == 1) | (F.lag("place").over(turn) != F.col("place"))).cast("int"))
+    t = t.withColumn("window", F.sum("new").over(so_far) - 1)
+    t = t.withColumn("own", F.sum("tokens").over(W.partitionBy("conv_id", "window")))
+    # context is written by the first turn of a window: the pinned turn, then the last turns before, as far as they fit
+    opens = (F.col("new") == 1) & (F.col("at") > 1)
+    t = t.withColumn("keep", opens & (F.col("system") > 0) & (F.col("own") + F.col("system") <= budget))
+    first = F.first(F.when(F.col("pinned"), F.col("piece"))).over(so_far)
+    room = budget - F.col("own") - F.when(F.col("keep"), F.col("system")).otherwise(0)
+    back, used, fits = [], F.lit(0), opens
+    for k in range(1, history + 1):
+        used = used + F.coalesce(F.lag("tokens", k).over(turn), F.lit(0))
+        fits = fits & ~F.coalesce(F.lag("pinned", k).over(turn), F.lit(True)) & (used <= room)
+        back.append(F.struct(F.when(fits, F.lag("piece", k).over(turn)).alias("piece"), F.lag("tokens", k).over(turn).alias("tokens")))
+    kept = F.filter(F.array(F.struct(F.when(F.col("keep"), first).alias("piece"), F.col("system").alias("tokens")), *back[::-1]),
+                    lambda x: x["piece"].isNotNull())
+    t = t.withColumn("shown", kept).withColumn("context", F.col("shown.piece"))
+    t = t.withColumn("cost", F.col("tokens") + F.aggregate("shown", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
     t = t.withColumn("written", F.concat(F.array_join("context", ""), F.col("piece")))
     inside = W.partitionBy("conv_id", "window").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("start", F.coalesce(F.sum(F.length("written")).over(inside), F.lit(0))
@@ -73,9 +90,9 @@ def windows(df: DataFrame, step: int = STEP, history: int = HISTORY) -> DataFram
     t = t.withColumn("loss", F.when(F.col("role") == "assistant", F.struct(
         F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length"))))
     turns = F.sort_array(F.collect_list(F.struct("at", "written", "loss", F.size("context").alias("n"))))
-    return (t.groupBy("conv_id", "window").agg(turns.alias("t"))
+    return (t.groupBy("conv_id", "window").agg(turns.alias("t"), F.sum("cost").alias("n_tokens"))
             .select("conv_id", "window", F.array_join(F.col("t.written"), "").alias("formatted"),
-                    F.element_at("t", 1)["n"].alias("n_context"),
+                    F.element_at("t", 1)["n"].alias("n_context"), "n_tokens",
                     F.filter(F.col("t.loss"), lambda x: x.isNotNull()).alias("loss")))
 
 
