@@ -22,16 +22,18 @@ an input column named like an output column is replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, extended_schema, map_arrow, read_table, sub_batches, texts, with_columns
+from .common import crc_fold, extended_schema, map_arrow, read_table, sub_batches, texts, with_columns, worker_stores
 
 VOCAB = "piece_bpe_32k.model"
 MARK = "▁"
@@ -41,6 +43,8 @@ MIX = 0.05            # weight of the all-language distribution
 FLUSH_WORDS = 200_000  # distinct words held before they are segmented
 MODEL_BYTES = 1 << 28  # largest model that is broadcast
 RESCALE = 16
+ROWS, ROW_LETTERS = 8_192, 1 << 20    # words, and characters of words, summed at a time
+STORE_WORDS, STORE_CHARS = 300_000, 64    # words that a worker keeps, and their most characters
 TINY = 1e-200         # forward value below which a word is summed in log space
 
 _pieces: dict[str, tuple] = {}
@@ -69,7 +73,7 @@ class LanguageModel:
     prior: np.ndarray
     prob: np.ndarray
     vocab: str
-    learnt: dict = field(default_factory=dict)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)   # names the model to the stores of workers
 
 
 def _piece_counts(vocab: str, text_col: str, lang_col: str):
@@ -150,43 +154,166 @@ def _log_forward(word: str, model: LanguageModel) -> np.ndarray:
     return window[-1]
 
 
+class _Trie:
+    """The vocabulary's pieces as a trie whose steps are array lookups, for many words at a time.
+
+    A step's key (state, character) is looked up in a hash table with open addressing; a state
+    without the step ends the walk, so no longer substring is asked for.
+    """
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        letters = sorted({c for p in ids for c in p})
+        self.letter = np.zeros(0x110000, np.int64)                # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        states: dict[str, int] = {"": 0}
+        keys, values = [], []
+        for p in sorted(ids):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    states[p[:k]] = len(states)
+                    keys.append(states[p[:k - 1]] * self.width + self.letter[ord(p[k - 1])])
+                    values.append(states[p[:k]])
+        self.piece = np.full(len(states), -1, np.int64)
+        self.piece[[states[p] for p in ids]] = list(ids.values())
+        self.bits = (4 * len(keys)).bit_length()
+        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        left, values = np.array(keys, np.int64), np.array(values, np.int64)
+        at = self.place(left)
+        while len(left):
+            free = np.flatnonzero(self.key[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.key[at[put]], self.value[at[put]] = left[put], values[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, values, at = left[rest], values[rest], (at[rest] + 1) & (len(self.key) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        keys = state * self.width + letter
+        out = np.full(len(keys), -1, np.int64)
+        at, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            got = self.key[at]
+            hit = got == keys[left]
+            out[left[hit]] = self.value[at[hit]]
+            go = ~hit & (got >= 0)
+            left, at = left[go], (at[go] + 1) & (len(self.key) - 1)
+        return out
+
+
+_tries: dict[str, _Trie] = {}
+
+
+def _trie(path: str) -> _Trie:
+    if path not in _tries:
+        _tries[path] = _Trie(_processor(path)[1])
+    return _tries[path]
+
+
 def forward(words: list[str], model: LanguageModel) -> np.ndarray:
     """log P(word | language), summed over all segmentations; shape (words, languages)."""
-    _, ids, longest, byte_ids = _processor(model.vocab)
-    prob, none = model.prob, len(model.prob) - 1
     out = np.zeros((len(words), len(model.langs)))
-    by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by_length.setdefault(len(w) + 1, []).append(k)
-    get = ids.get
-    for n, rows in by_length.items():
-        ws = [MARK + words[k] for k in rows]
-        scale = np.zeros((len(ws), prob.shape[1]))
-        low = np.zeros(len(ws), bool)
-        window = [np.ones_like(scale)]  # forward values at the last `longest` positions
-        for j in range(1, n + 1):
-            acc = np.zeros_like(scale)
-            for back, before in enumerate(reversed(window), 1):
-                i = j - back
-                at = np.fromiter((get(w[i:j], none) for w in ws), np.int64, len(ws))
-                p = prob[at]
-                if back == 1:
-                    for k in np.flatnonzero(at == none):
-                        p[k] = np.prod(prob[byte_ids[list(ws[k][i:j].encode("utf-8", "replace"))]], axis=0)
-                acc += before * p
-            small = acc < TINY
-            if small.any():
-                low |= small.any(1)
-            window = [*window[-(longest - 1):], acc]
-            if j % RESCALE == 0:
-                top = np.maximum.reduce(window)
-                top[low] = 1
-                window = [x / top for x in window]
-                scale += np.log(top)
-        window[-1][low] = 1
-        out[rows] = scale + np.log(window[-1])
-        for k in np.flatnonzero(low):
-            out[rows[k]] = _log_forward(words[rows[k]], model)
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    a = 0
+    while a < len(order):
+        # words of like length, so many that their characters and forward values stay bounded
+        n = max(1, min(ROWS, ROW_LETTERS // (len(words[order[a]]) + 1)))
+        rows = order[a:a + n]
+        while len(rows) > 1 and (len(words[rows[-1]]) + 1) * len(rows) > 2 * ROW_LETTERS:
+            rows = rows[:len(rows) // 2]
+        out[rows] = _forward([words[k] for k in rows], model)
+        a += len(rows)
+    return out
+
+
+def _forward(words: list[str], model: LanguageModel) -> np.ndarray:
+    """Of words in order of length: a walk through the trie from every character, all words together."""
+    _, ids, longest, byte_ids = _processor(model.vocab)
+    trie, width = _trie(model.vocab), longest + 1
+    size = np.array([len(w) + 1 for w in words])
+    points = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    start = np.cumsum(size) - size
+    # a character that is no piece costs its bytes' pieces: a row of its own behind the model's
+    single = trie.piece[np.maximum(trie.step(np.zeros(len(points), np.int64), trie.letter[points]), 0)]
+    odd, row = np.unique(points[single < 0], return_inverse=True)
+    prob = model.prob
+    if len(odd):
+        prob = np.vstack([prob, [np.prod(prob[byte_ids[list(chr(c).encode("utf-8", "replace"))]], axis=0) for c in odd]])
+        single[single < 0] = len(model.prob) + row
+    letter = trie.letter[points]
+    ahead = np.zeros((width, len(words), prob.shape[1]))         # forward values at the next positions
+    ahead[0] = 1
+    scale, out = np.zeros((len(words), prob.shape[1])), np.zeros((len(words), prob.shape[1]))
+    low = np.zeros(len(words), bool)
+    for j in range(int(size[-1]) + 1):
+        now = ahead[j % width]
+        low |= (now < TINY).any(1) & (size >= j)
+        first, after = np.searchsorted(size, [j, j + 1])
+        if after > first:                                         # words that end here
+            with np.errstate(divide="ignore"):
+                out[first:after] = scale[first:after] + np.log(now[first:after])
+        at = np.arange(after, len(words))
+        if not len(at):
+            break
+        if j % RESCALE == 0 and j:
+            top = ahead[:, at].max(0)
+            top[low[at]] = 1
+            ahead[:, at] /= top
+            scale[at] += np.log(top)
+        state = np.zeros(len(at), np.int64)
+        for back in range(longest):
+            place = start[at] + j + back
+            state = trie.step(state, letter[place])
+            piece = single[place] if back == 0 else np.where(state >= 0, trie.piece[state], -1)
+            known = piece >= 0
+            hit = at[known]
+            ahead[(j + back + 1) % width, hit] += now[hit] * prob[piece[known]]
+            on = (state >= 0) & (size[at] > j + back + 1)
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        ahead[j % width] = 0
+    for k in np.flatnonzero(low):
+        out[k] = _log_forward(words[k], model)
+    return out
+
+
+class _Store:
+    """Log probabilities of words that a worker has summed, for one model."""
+    model = ""
+    slot: dict[str, int] = {}
+    logp = np.zeros((0, 0))
+
+
+def _empty() -> None:
+    _Store.model, _Store.slot, _Store.logp = "", {}, np.zeros((0, 0))
+
+
+worker_stores["langid"] = _empty
+
+
+def stored_forward(words: list[str], model: LanguageModel) -> np.ndarray:
+    """``forward``, words of earlier batches from the store."""
+    if _Store.model != model.key:
+        _empty()
+        _Store.model, _Store.logp = model.key, np.zeros((0, len(model.langs)))
+    new = [w for w in words if w not in _Store.slot]
+    _Store.slot.update(zip(new, range(len(_Store.slot), len(_Store.slot) + len(new)), strict=True))
+    _Store.logp = np.concatenate([_Store.logp, forward(new, model)])
+    out = _Store.logp[np.fromiter(map(_Store.slot.__getitem__, words), np.int64, len(words))]
+    if len(_Store.slot) > STORE_WORDS:
+        short = [k for k, w in enumerate(words) if len(w) <= STORE_CHARS]
+        _Store.slot = {words[k]: i for i, k in enumerate(short)}
+        _Store.logp = out[short]
+    elif any(len(w) > STORE_CHARS for w in new):
+        short = [w for w in _Store.slot if len(w) <= STORE_CHARS]
+        _Store.logp = _Store.logp[[_Store.slot[w] for w in short]]
+        _Store.slot = {w: i for i, w in enumerate(short)}
     return out
 
 
@@ -194,33 +321,31 @@ def _predict(model: LanguageModel, text_col: str):
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, text_col):
-                index: dict[str, int] = {}
-                docs = []
-                for text in texts(batch, text_col):
-                    if text is None or not model.langs or not LETTER.search(text):
-                        docs.append(None)
-                    else:
-                        docs.append(np.array([index.setdefault(w, len(index)) for w in text.split()], np.int64))
-                logp = forward(list(index), model)
-                pred, score = [], []
-                for at in docs:
-                    if at is None:
-                        pred.append(UND)
-                        score.append(0.0)
-                        continue
-                    s = model.prior + logp[at].sum(0)
-                    best = int(np.argmax(s))
-                    pred.append(model.langs[best])
-                    score.append(float(1 / np.exp(s - s[best]).sum()))
-                yield with_columns(batch, {"lang_pred": pa.array(pred, pa.string()),
-                                           "lang_score": pa.array(score, pa.float64())})
+                col = batch.column(batch.schema.get_field_index(text_col))
+                said = np.array([t is not None and LETTER.search(t) is not None for t in texts(batch, text_col)], bool) & bool(model.langs)
+                split = pc.utf8_split_whitespace(pc.if_else(pa.array(said), pc.fill_null(col, ""), ""))
+                coded = split.flatten().dictionary_encode()
+                logp = stored_forward(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), model)
+                logp = logp[coded.indices.to_numpy()]
+                logp[pc.equal(split.flatten(), "").to_numpy(zero_copy_only=False)] = 0       # blanks about a text
+                first = split.offsets.to_numpy()[:-1][said] - split.offsets.to_numpy()[0]
+                pred, score = np.full(len(said), UND, object), np.zeros(len(said))
+                if len(first):
+                    # a text has a word at least, and texts that say nothing have one blank, which the next sum must not take
+                    ends = split.offsets.to_numpy()[1:][said] - split.offsets.to_numpy()[0]
+                    cuts = np.stack([first, ends], 1).ravel()
+                    s = np.add.reduceat(np.vstack([logp, np.zeros((1, logp.shape[1]))]), cuts, axis=0)[::2] + model.prior
+                    best = s.argmax(1)
+                    pred[said] = [model.langs[k] for k in best]
+                    score[said] = 1 / np.exp(s - s[np.arange(len(best)), best][:, None]).sum(1)
+                yield with_columns(batch, {"lang_pred": pa.array(pred, pa.string()), "lang_score": pa.array(score)})
     return run
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``lang_score`` (posterior of the prediction)."""
     schema = extended_schema(df, {"lang_pred": "string", "lang_score": "double"})
-    return map_arrow(df, _predict(model, text_col), schema)
+    return map_arrow(df, _predict(model, text_col), schema, store="langid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
