@@ -10,7 +10,7 @@ length.
 
 Ids are the tokenizer's for the whole text. Its pre-tokens never contain white
 space, so the text is split at white space and each distinct word is encoded once
-per worker (in bounded stores) and the ids are joined. Words of plain Latin
+per worker (in bounded stores) and the ids are gathered in one array. Words of plain Latin
 letters are cut further into the tokenizer's own pre-tokens, which many words
 share; all others go to the tokenizer whole.
 
@@ -29,29 +29,63 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, sub_batches, texts, worker_stores
+from .common import map_arrow, read_table, sub_batches, worker_stores
 
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
 LONGEST = 4096
 BATCH_BYTES = 4 << 20
-STORE_WORDS, STORE_PARTS = 700_000, 700_000  # strings that a worker's stores hold after a batch
+#: Strings that a worker's stores hold after a batch, about 200 bytes each.
+STORE_WORDS, STORE_PARTS = 500_000, 400_000
 STORE_CHARS = 64
 JOINED = 512
-#: Words whose lower case and normal form are the same in every Unicode version, and the
-#: tokenizer's pre-token pattern for them (lower-cased): fixed values.
-PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017f]*").fullmatch
-PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+").findall
-#: Python's split() also cuts at these; to the tokenizer they are no white space.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words of these characters have the same lower case and normal form in every Unicode version; and the
+#: tokenizer's pre-token pattern for such words (lower-cased, one per line): fixed values.
+NOT_PLAIN = "[^\\x{21}-\\x{7e}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{148}\\x{14a}-\\x{17f}]"
+PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f\n]+").findall
 OUTPUT = ("start", "length", "ids", "doc_tokens")
 
 _tokenizers: dict[str, tuple] = {}
 
 
+class Words:
+    """The ids of known words, one after the other in one array."""
+
+    def __init__(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.slot)
+        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+
+    def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these words, where each word's begin and the last one's end)."""
+        size = self.size[slots]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        at = np.repeat(self.start[slots] - ends[:-1], size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def keep(self, words: list[str]) -> None:
+        """Forgets all other words."""
+        ids, ends = self.gathered(self.slots(words))
+        self.slot = dict(zip(words, range(len(words)), strict=True))
+        self.start, self.size, self.ids = ends[:-1], np.diff(ends), ids
+
+
 def _tokenizer(path: str):
     """(tokenizer, ids by word, ids by pre-token, which ids end a pre-token), once per worker."""
     if path not in _tokenizers:
@@ -64,72 +98,89 @@ def _tokenizer(path: str):
         suffix = getattr(t.model, "end_of_word_suffix", None)
         if suffix:
             ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
-        _tokenizers[path] = (t, {}, {}, ends)
+        _tokenizers[path] = (t, Words(), Words(), ends)
     return _tokenizers[path]
 
 
-def _words(text: str) -> list[str]:
-    if any(c in text for c in NOT_SPACE):
-        return [text]
-    return text.split()
-
-
-def _encoded(strings: list[str], t, ends: np.ndarray, joined: bool):
-    """(string, packed ids) of each string; pre-tokens may go joined, as each ends with an id that says so."""
+def _encoded(strings: list[str], t, ends: np.ndarray, joined: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the strings, how many each has); pre-tokens may go joined, as each ends with an id that says so."""
+    ids, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
     for a in range(0, len(strings), JOINED):
         part = strings[a:a + JOINED]
         if joined:
-            ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            own = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ends[own]) + 1
             if len(cut) == len(part):
-                packed = ids.tobytes()
-                yield from zip(part, [packed[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True)
+                ids.append(own)
+                size.append(np.diff(cut, prepend=0))
                 continue
-        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
+        each = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        ids.append(np.array([i for e in each for i in e], "<u4"))
+        size.append(np.array([len(e) for e in each], np.int64))
+    return np.concatenate(ids), np.concatenate(size)
 
 
 def _empty() -> None:
-    for _, by_word, by_part, _ in _tokenizers.values():
-        by_word.clear()
-        by_part.clear()
+    for path, (t, _, _, ends) in list(_tokenizers.items()):
+        _tokenizers[path] = (t, Words(), Words(), ends)
 
 
 worker_stores["packing"] = _empty
 
 
-def _bounded(store: dict[str, bytes], most: int, used: set[str], new: set[str]) -> None:
-    """Keep a store within its size: when it is full, the strings of this batch stay; long ones never do."""
-    if len(store) > most:
-        kept = {w: store[w] for w in used}
-        store.clear()
-        store.update(kept)
-    for w in new:
-        if len(w) > STORE_CHARS:
-            del store[w]
+def _strings(col: pa.Array) -> list[str]:
+    """``to_pylist`` of strings, several times faster."""
+    return col.to_numpy(zero_copy_only=False).tolist()
+
+
+def _bounded(store: Words, most: int, used: list[str], new: list[str]) -> None:
+    """Keeps a store within its size: when it is full, the strings of this batch stay; long ones never do."""
+    full = len(store.slot) > most
+    if full or any(len(w) > STORE_CHARS for w in new):
+        store.keep([w for w in (used if full else store.slot) if len(w) <= STORE_CHARS])
+
+
+def _learn(miss: list[str], words: Words, parts: Words, t, ends: np.ndarray) -> None:
+    """Adds words to the store: plain ones by their pre-tokens, which many words share, the others whole."""
+    odd = pc.match_substring_regex(pa.array(miss, pa.string()), NOT_PLAIN).to_numpy(zero_copy_only=False).tolist()
+    whole = [w for w, x in zip(miss, odd, strict=True) if x]
+    words.add(whole, *_encoded(whole, t, ends, False))
+    plain = [w for w, x in zip(miss, odd, strict=True) if not x]
+    pre = pa.array(PRE_TOKENS("\n".join(plain).lower()), pa.string())
+    coded = pre.dictionary_encode()
+    distinct = _strings(coded.dictionary)
+    new = [p for p in distinct if p not in parts.slot]
+    parts.add(new, *_encoded(new, t, ends, True))
+    ids, at = parts.gathered(parts.slots(distinct)[coded.indices.to_numpy()])
+    # a word's pre-tokens are those that end within it
+    letters = np.cumsum(pc.utf8_length(pa.array(plain, pa.string())).to_numpy().astype(np.int64))
+    last = np.searchsorted(np.cumsum(pc.utf8_length(pre).to_numpy().astype(np.int64)), letters, side="right")
+    words.add(plain, ids, np.diff(at[last], prepend=0))
+    _bounded(parts, STORE_PARTS, distinct, new)
+
+
+def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after the other; where each text's begin and the last one's end).
+
+    ASCII white space is white space to the tokenizer too; any other stays inside its word, which goes to the tokenizer whole.
+    """
+    t, words, parts, ends = _tokenizer(path)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    distinct = _strings(coded.dictionary)
+    miss = [w for w in distinct if w not in words.slot]
+    if miss:
+        _learn(miss, words, parts, t, ends)
+    ids, at = words.gathered(words.slots(distinct)[coded.indices.to_numpy()])
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    _bounded(words, STORE_WORDS, distinct, miss)
+    return ids, at[offsets - offsets[0]]
 
 
 def encode_texts(values: list[str | None], path: str) -> list[bytes]:
     """Packed little-endian ids of whole texts."""
-    t, by_word, by_part, ends = _tokenizer(path)
-    docs = [_words(x or "") for x in values]
-    used: set[str] = set()
-    for words in docs:
-        used.update(words)
-    miss = used.difference(by_word)
-    cut = {w: PRE_TOKENS(w.lower()) for w in miss if PLAIN(w)}
-    parts: set[str] = set()
-    for pre in cut.values():
-        parts.update(pre)
-    new = parts.difference(by_part)
-    by_part.update(_encoded(list(new), t, ends, True))
-    by_word.update({w: by_part[pre[0]] if len(pre) == 1 else b"".join([by_part[p] for p in pre])
-                    for w, pre in cut.items()})
-    by_word.update(_encoded(list(miss.difference(cut)), t, ends, False))
-    out = [b"".join(map(by_word.__getitem__, words)) for words in docs]
-    _bounded(by_word, STORE_WORDS, used, miss)
-    _bounded(by_part, STORE_PARTS, parts, new)
-    return out
+    ids, at = encode_column(pa.array(values, pa.string()), path)
+    return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -160,20 +211,23 @@ def pack(df: DataFrame, text_col: str = "text", path: str | None = None, end_id:
     def run(batches):
         for whole in batches:
             for batch in sub_batches(whole, text_col, BATCH_BYTES):
-                row, start, length, ids, total = [], array("q"), array("q"), [], array("q")
-                for k, packed in enumerate(encode_texts(texts(batch, text_col), path)):
-                    packed += end
-                    n = len(packed) // 4
-                    for a, m in pieces(n, longest):
-                        row.append(k)
+                packed, at = encode_column(batch.column(batch.schema.get_field_index(text_col)), path)
+                packed = np.insert(packed, at[1:], end_id).astype("<u4")        # an end after each text
+                row, start, length = [], array("q"), array("q")
+                for k, n in enumerate((np.diff(at) + 1).tolist()):
+                    cut = pieces(n, longest)
+                    row += [k] * len(cut)
+                    for a, m in cut:
                         start.append(a)
                         length.append(m)
-                        ids.append(packed[4 * a:4 * (a + m)])
-                        total.append(n)
-                other = batch.select(names).take(pa.array(row, pa.int64())).columns if names else []
+                row, length = np.array(row, np.int64), np.frombuffer(length, np.int64)
+                # pieces follow one another in the ids as they do here
+                edges = np.concatenate([np.zeros(1, np.int64), 4 * np.cumsum(length)])
+                ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(packed)])
+                other = batch.select(names).take(pa.array(row)).columns if names else []
                 yield pa.RecordBatch.from_arrays(
-                    [*other, pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array(total, pa.int64())], names=[*names, *OUTPUT])
+                    [*other, pa.array(np.frombuffer(start, np.int64)), pa.array(length), ids,
+                     pa.array((np.diff(at) + 1)[row])], names=[*names, *OUTPUT])
 
     own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in keep]
     schema = ", ".join([*own, "start bigint", "length bigint", "ids binary", "doc_tokens bigint"])
