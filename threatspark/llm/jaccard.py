@@ -15,9 +15,9 @@ Equal sets are one node from the start. Candidates first pair each node with
 the least node of a bucket (a star: linear in the bucket), are verified and
 joined into components; then all remaining pairs of a bucket that lie in
 different components follow, so no link between components is lost and pairs
-inside one are never listed. Within the joins, sizes and parity bitmaps of both
-sets rule pairs out: the bitmaps' Hamming distance never exceeds the symmetric
-difference.
+inside one are never listed. Within the joins, sizes, the places of the shared shingle in both
+orders and parity bitmaps of both sets rule pairs out: the bitmaps' Hamming distance
+never exceeds the symmetric difference.
 
 Defined results: null or empty text, or white space only: empty set, linked
 with nothing, component_id the own id; fewer words than a shingle: the whole
@@ -164,6 +164,14 @@ def _may_reach(percent: int, a: str, b: str):
             & (100 * most >= percent * (na + nb - most)))
 
 
+def _first_may_reach(percent: int, a: str, b: str):
+    """Condition on two sides that share the token at places ``at`` of the global order, as their first one:
+    what follows it on either side is enough. A pair that reaches the threshold passes at its first common token.
+    """
+    most = F.least(F.col(f"{a}n") - F.col(f"{a}at"), F.col(f"{b}n") - F.col(f"{b}at"))
+    return (100 + percent) * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by partial overlaps per fragment."""
     spark = pairs.sparkSession
@@ -207,22 +215,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # without a head the row repeats a node of its task
     nodes = stored(rows.filter("head is not null").select("node", "n", "parity", "row_key")
                    .dropDuplicates(["node"]), "nodes")
-    met = rows.filter("head is not null").select("node", F.explode("head").alias("token"))
+    met = rows.filter("head is not null").select("node", F.posexplode("head").alias("at", "token"))
     own = W.partitionBy("token")
     shared = stored(met.withColumn("least", F.min("node").over(own)).withColumn("most", F.max("node").over(own))
-                    .filter("least <> most").select("token", "node", "least").distinct(), "shared")
+                    .filter("least <> most").select("token", "node", "at", "least").distinct(), "shared")
     stars = shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(stars, nodes, docs, words, percent)
     comp = stored(components(links), "comps")
     # what is left: pairs of one bucket in different components
     labelled = (shared.join(comp, "node", "left").join(nodes.select("node", "n", "parity"), "node")
-                .select("token", "node", "n", "parity", F.coalesce("comp", "node").alias("comp"))
+                .select("token", "node", "at", "n", "parity", F.coalesce("comp", "node").alias("comp"))
                 .withColumn("lo", F.min("comp").over(own)).withColumn("hi", F.max("comp").over(own))
                 .filter("lo <> hi").drop("lo", "hi"))
     labelled = stored(labelled, "mixed")
     x, y = labelled.alias("x"), labelled.alias("y")
     rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                   & _may_reach(percent, "x.", "y."))
+                   & _first_may_reach(percent, "x.", "y.") & _may_reach(percent, "x.", "y."))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     more = _verified(rest.join(stars, ["a", "b"], "left_anti"), nodes, docs, words, percent)
     if not more.isEmpty():
