@@ -70,20 +70,24 @@ def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in present])
 
 
-def zero_columns(df: DataFrame) -> list[str]:
-    """Names of numeric columns whose every value is 0.
+def zero_flags(df: DataFrame) -> DataFrame:
+    """(column_name, all_zero) of every numeric column, in one aggregate pass (one row per column).
 
     A null (or NaN) is not 0, so one missing value keeps the column; text
     columns never match; on an empty frame every numeric column qualifies.
-    One aggregate pass over the table, partial aggregation on each task.
     """
     cols = numeric_columns(df)
+    flags = [F.struct(F.lit(c).alias("column_name"),
+                      F.coalesce(F.every(F.coalesce(q(c) == 0, F.lit(False))), F.lit(True)).alias("all_zero")) for c in cols]
     if not cols:
-        return []
-    exprs = [F.coalesce(F.every(F.coalesce(q(c) == 0, F.lit(False))), F.lit(True)).alias(c)
-             for c in cols]
-    row = df.agg(*exprs).first()
-    return [c for c in cols if row[c]]
+        return df.sparkSession.createDataFrame([], "column_name string, all_zero boolean")
+    return df.agg(F.array(*flags).alias("f")).select(F.inline("f"))
+
+
+def zero_columns(df: DataFrame) -> list[str]:
+    """Names of numeric columns whose every value is 0 (see ``zero_flags``), in their order."""
+    zero = {r["column_name"] for r in zero_flags(df).collect() if r["all_zero"]}
+    return [c for c in numeric_columns(df) if c in zero]
 
 
 def drop_zero_columns(df: DataFrame) -> DataFrame:

@@ -146,51 +146,37 @@ class QuantileModel:
             raise
 
     # T4
-    def segments(self, spark: SparkSession, f: str, bucket: str) -> DataFrame:
-        """Segment table of one feature: bucket index b (k[b-1] <= x < k[b], as
-        the Bucketizer numbers it) -> (left knot, right knot, its references).
-        At most n_quantiles + 1 rows, generated in the JVM from ``range`` and
-        the knot arrays (evaluated once per segment, not per data row), so it
-        is broadcast."""
-        m = len(self.knots[f])
-        k, lo, hi = (_double_array(self.knots[f]), _double_array(self.ref_lo[f]),
-                     _double_array(self.ref_hi[f]))
-        b = F.col("id").cast("int")
-        return spark.range(1, m + 1).select(
-            F.col("id").cast("double").alias(bucket),
-            F.element_at(k, b).alias("_k"), F.try_element_at(k, b + 1).alias("_kn"),
-            F.element_at(lo, b).alias("_lo"), F.element_at(hi, b).alias("_hi"),
-            F.try_element_at(lo, b + 1).alias("_lon"))
+    def segment(self, f: str, at: Column) -> dict[str, Column]:
+        """A feature's segment number ``at`` (from 0): left knot, middle of its references, right end of them,
+        width and rise up to the next knot. Each comes by place from a literal array of at most n_quantiles values;
+        the arrays are folded once (one of structs would be built anew for every row)."""
+        k, lo, hi = self.knots[f], self.ref_lo[f], self.ref_hi[f]
+        n = len(k)
+        cols = [k, [(a + b) / 2 for a, b in zip(lo, hi)], hi, [k[i + 1] - k[i] if i + 1 < n else 1.0 for i in range(n)],
+                [lo[i + 1] - hi[i] if i + 1 < n else 0.0 for i in range(n)]]
+        return {m: F.get(_double_array(c), at) for c, m in zip(cols, ("knot", "mid", "end", "width", "rise"))}
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Uniform output in [0, 1]: <= min -> 0, >= max -> 1, a knot -> the
         middle of its reference range, between knots -> linear interpolation.
-        Nulls stay null and NaN becomes null. The knot interval of each value comes from a
-        Bucketizer (binary search in the JVM); its knots and references from a
-        broadcast join with the feature's segment table."""
+        Nulls stay null and NaN becomes null. A projection: the knot interval of each value comes from a
+        Bucketizer (binary search in the JVM), its segment by place from the feature's literal array."""
         feats = [f for f in self.features if f in df.columns and self.knots.get(f)]
         if not feats:
             return df
-        spark = df.sparkSession
         bcols = {f: f"_qb{i}" for i, f in enumerate(feats)}
         buck = Bucketizer(
             splitsArray=[[-math.inf, *self.knots[f], math.inf] for f in feats],
             inputCols=feats, outputCols=[bcols[f] for f in feats], handleInvalid="keep")
-        d = buck.transform(df)
-        order = list(d.columns)
+        out = {}
         for f in feats:
-            seg = self.segments(spark, f, bcols[f])
-            d = d.join(F.broadcast(seg), bcols[f], "left")
-            x = q(f).cast("double")
-            kmin, kmax = F.lit(self.knots[f][0]), F.lit(self.knots[f][-1])
-            ki, kn, lo, hi, lon = (F.col(c) for c in ("_k", "_kn", "_lo", "_hi", "_lon"))
-            val = (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
-                   .when(x <= kmin, F.lit(0.0))
-                   .when(x >= kmax, F.lit(1.0))
-                   .when(x == ki, (lo + hi) / 2)
-                   .otherwise(hi + (x - ki) / (kn - ki) * (lon - hi)))
-            d = d.withColumn(f, val).drop("_k", "_kn", "_lo", "_hi", "_lon")
-        return d.select(*[q(c) for c in order if c not in bcols.values()])
+            x, s = q(f).cast("double"), self.segment(f, F.col(bcols[f]).cast("int") - 1)
+            out[f] = (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
+                      .when(x <= F.lit(self.knots[f][0]), F.lit(0.0))
+                      .when(x >= F.lit(self.knots[f][-1]), F.lit(1.0))
+                      .when(x == s["knot"], s["mid"])
+                      .otherwise(s["end"] + (x - s["knot"]) / s["width"] * s["rise"]))
+        return buck.transform(df).withColumns(out).drop(*bcols.values())
 
 
 def _quantile_blocks(df: DataFrame, k: int) -> tuple[int, list[int], list[list[float]]]:

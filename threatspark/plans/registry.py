@@ -104,14 +104,7 @@ _ZERO_UNION = " UNION ALL ".join(
 @query("flow_zero_columns", oracle(["flows"], _ZERO_UNION))
 def q_flow_zero_columns(spark, sf):
     d = fx.flows(spark, sf).drop("flow_id", "part_id", "supp_id", "flow_ts")
-    cols = C.numeric_columns(d)
-    zero = set(C.zero_columns(d))
-    agg = d.agg(*[F.coalesce(F.every(F.coalesce(C.q(c) == 0, F.lit(False))), F.lit(True))
-                  .alias(c) for c in cols])
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    out = agg.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, all_zero)")
-    assert zero == {r[0] for r in out.where("all_zero").collect()}
-    return out
+    return C.zero_flags(d)
 
 
 @query("flow_profile", oracle(["flows"], " UNION ALL ".join(
