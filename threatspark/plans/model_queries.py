@@ -357,6 +357,49 @@ def q_network_cv(spark, sf):
     return M.cv_summary(N.cv_network(d, STEP_COLS, "y", KEY, "fold", 5, epochs=4, rate=0.05))
 
 
+CV_FOLDS, CV_STEPS = 5, 3
+
+
+def focal_cv_sql() -> str:
+    """``focal_sql`` with every fold held out in turn: (k, fold's accuracy at the epoch of least held-out loss)."""
+    start, _ = N.ResidualNet(len(STEP_COLS), ()).start(42)
+    eps, g, a = N.EPSILON, FOCAL.gamma, FOCAL.alpha
+    names = ["w0", "w1", "w2", "b"]
+    loss = f"-CASE WHEN y = 1 THEN {a} * pow(1 - p, {g}) * ln(p + {eps}) ELSE {1 - a} * pow(p, {g}) * ln(1 - p + {eps}) END"
+    one = f"{a} * ({g} * pow(1 - p, {g - 1}) * ln(p + {eps}) - pow(1 - p, {g}) / (p + {eps}))"
+    zero = f"{1 - a} * (pow(p, {g}) / (1 - p + {eps}) - {g} * pow(p, {g - 1}) * ln(1 - p + {eps}))"
+    parts = [f"""
+data AS MATERIALIZED (
+  SELECT fwd_packet_length_max / 50 AS x0, flow_iat_mean * 10 AS x1, flow_iat_min * 10 AS x2, (traffic_type = 'Attack')::INT AS y,
+    (row_number() OVER (PARTITION BY traffic_type ORDER BY md5(concat_ws(':', '42', {KEY_SQL})), {KEY_SQL}) - 1) % {CV_FOLDS} AS fold FROM sampled),
+e0 AS (SELECT k, {', '.join(f'{float(v)!r}::DOUBLE AS {n}, 0::DOUBLE AS m_{n}, 0::DOUBLE AS v_{n}' for n, v in zip(names, start, strict=True))}
+       FROM range({CV_FOLDS}) r(k))"""]
+    for t in range(1, CV_STEPS + 1):
+        sums = ", ".join(f"sum(d * {x}) FILTER (fold <> k) / count(*) FILTER (fold <> k) AS g_{n}"
+                         for n, x in zip(names, [*STEP_COLS, "1"], strict=True))
+        moved = ", ".join(f"0.9 * m_{n} + 0.1 * g_{n} AS m_{n}, 0.999 * v_{n} + 0.001 * g_{n} * g_{n} AS v_{n}, {n}" for n in names)
+        new = ", ".join(f"{n} - {STEP_RATE} * (m_{n} / (1 - pow(0.9, {t}))) / (sqrt(v_{n} / (1 - pow(0.999, {t}))) + 1e-7) AS {n}, m_{n}, v_{n}"
+                        for n in names)
+        parts.append(f"""
+p{t} AS MATERIALIZED (SELECT data.*, k, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + b))) AS p FROM data, e{t - 1}),
+d{t} AS MATERIALIZED (SELECT *, {loss} AS loss, (CASE WHEN y = 1 THEN {one} ELSE {zero} END) * p * (1 - p) AS d FROM p{t}),
+s{t} AS MATERIALIZED (
+  SELECT k, {t} AS epoch, avg(loss) FILTER (fold = k) AS val_loss, avg(((p > 0.5) = (y = 1))::INT) FILTER (fold = k) AS val_accuracy, {sums}
+  FROM d{t} GROUP BY k),
+e{t} AS MATERIALIZED (SELECT k, {new} FROM (SELECT k, {moved} FROM e{t - 1} JOIN s{t} USING (k)))""")
+    return ",".join(parts)
+
+
+@query("cv_focal", oracle(["flows"], "SELECT CAST(k AS INTEGER) AS fold, round(arg_min(val_accuracy, val_loss), 6) AS accuracy FROM ("
+                          + " UNION ALL ".join(f"SELECT k, val_loss, val_accuracy FROM s{t}" for t in range(1, CV_STEPS + 1)) + ") GROUP BY k",
+                          FLOW_CLEAN_SQL + "," + UNDER_SQL + "," + focal_cv_sql()))
+def q_cv_focal(spark, sf):
+    """M9: five folds of the focal objective on a logistic model, each fold's accuracy at the best epoch."""
+    d = S.stratified_folds(scaled_flows(spark, sf), "y", KEY, CV_FOLDS, seed=42)
+    cv = N.cv_network(d, STEP_COLS, "y", KEY, "fold", CV_FOLDS, hidden=(), objective=FOCAL, epochs=CV_STEPS, rate=STEP_RATE)
+    return cv.select("fold", r6("accuracy").alias("accuracy"))
+
+
 # ---------------------------------------------------------------- M11 - M13
 
 
