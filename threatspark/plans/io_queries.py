@@ -36,6 +36,14 @@ def flow_columns(spark, sf):
     return fx.flows(spark, sf).select(*FLOW_READ)
 
 
+def same_scores(a, b):
+    """(n, scored, different): rows and scores of ``a``, and rows that only one of two scored tables has."""
+    both = a.withColumn("side", F.lit(1)).union(b.withColumn("side", F.lit(-1)))
+    rows = both.groupBy(*KEY, "p").agg(F.count_if(F.col("side") == 1).alias("n"), F.sum("side").alias("rest"))
+    return rows.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("scored"),
+                    F.sum(F.abs("rest")).alias("different"))
+
+
 # ---------------------------------------------------------------- files
 
 
@@ -166,8 +174,7 @@ def q_io_model(spark, sf):
     path = scratch_path(spark, "model")
     MD.save_model(model, path)
     a, b = (MD.score(m, d).select(*KEY, "p") for m in (model, MD.load_model(path)))
-    both = a.join(b.withColumnRenamed("p", "again"), KEY)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("again")).alias("different"))
+    return same_scores(a, b).drop("scored")
 
 
 # ---------------------------------------------------------------- one object from raw flows to scores
@@ -196,8 +203,7 @@ def q_flow_pipeline_scores(spark, sf):
     MD.save_model(fitted, path)
     raw = fl.drop("label")
     a, b = (MD.score(m, raw).select(*KEY, "p") for m in (fitted, MD.load_model(path)))
-    both = a.join(b.withColumnRenamed("p", "again"), KEY)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count("again").alias("scored"), F.count_if(F.col("p") != F.col("again")).alias("different"))
+    return same_scores(a, b)
 
 
 # ---------------------------------------------------------------- streams
