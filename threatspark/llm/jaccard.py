@@ -189,8 +189,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     met = near.select("a", "b").join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "toks_a", "toks_b")
     part = map_arrow(met, _overlaps, "a bigint, b bigint, c bigint")
     total = part.groupBy("a", "b").agg(F.sum("c").alias("c")).join(near, ["a", "b"])
-    return stored(total.filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
-                  .select("a", "b"), "links")
+    links = stored(total.filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
+                   .select("a", "b"), "links")
+    wanted.destroy()        # else every worker keeps it
+    return links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -212,6 +214,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(map_arrow(docs.select("id", "row_key", "text"), _head_rows("text", words, percent, bits, level),
                             f"id {id_type}, row_key bigint, n bigint, node bigint, parity array<bigint>, head array<bigint>"),
                   "heads")
+    level.destroy()         # else every worker keeps it
     # without a head the row repeats a node of its task
     nodes = stored(rows.filter("head is not null").select("node", "n", "parity", "row_key")
                    .dropDuplicates(["node"]), "nodes")

@@ -40,6 +40,7 @@ MARK = "▁"
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MIX = 0.05            # weight of the all-language distribution
+BATCH_BYTES = 4 << 20  # of text scored at a time
 FLUSH_WORDS = 200_000  # distinct words held before they are segmented
 MODEL_BYTES = 1 << 28  # largest model that is broadcast
 RESCALE = 16
@@ -292,6 +293,8 @@ class _Store:
 
 def _empty() -> None:
     _Store.model, _Store.slot, _Store.logp = "", {}, np.zeros((0, 0))
+    _pieces.clear()
+    _tries.clear()
 
 
 worker_stores["langid"] = _empty
@@ -300,7 +303,7 @@ worker_stores["langid"] = _empty
 def stored_forward(words: list[str], model: LanguageModel) -> np.ndarray:
     """``forward``, words of earlier batches from the store."""
     if _Store.model != model.key:
-        _empty()
+        _Store.slot = {}
         _Store.model, _Store.logp = model.key, np.zeros((0, len(model.langs)))
     new = [w for w in words if w not in _Store.slot]
     _Store.slot.update(zip(new, range(len(_Store.slot), len(_Store.slot) + len(new)), strict=True))
@@ -320,21 +323,21 @@ def stored_forward(words: list[str], model: LanguageModel) -> np.ndarray:
 def _predict(model: LanguageModel, text_col: str):
     def run(batches):
         for whole in batches:
-            for batch in sub_batches(whole, text_col):
+            for batch in sub_batches(whole, text_col, BATCH_BYTES):
                 col = batch.column(batch.schema.get_field_index(text_col))
                 said = np.array([t is not None and LETTER.search(t) is not None for t in texts(batch, text_col)], bool) & bool(model.langs)
-                split = pc.utf8_split_whitespace(pc.if_else(pa.array(said), pc.fill_null(col, ""), ""))
+                # an empty text at the end, so that every text's words end before others begin
+                kept = pa.concat_arrays([pc.if_else(pa.array(said), pc.fill_null(col, ""), ""), pa.array([""], col.type)])
+                split = pc.utf8_split_whitespace(kept)
                 coded = split.flatten().dictionary_encode()
                 logp = stored_forward(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), model)
                 logp = logp[coded.indices.to_numpy()]
                 logp[pc.equal(split.flatten(), "").to_numpy(zero_copy_only=False)] = 0       # blanks about a text
-                first = split.offsets.to_numpy()[:-1][said] - split.offsets.to_numpy()[0]
+                at = split.offsets.to_numpy() - split.offsets.to_numpy()[0]
                 pred, score = np.full(len(said), UND, object), np.zeros(len(said))
-                if len(first):
-                    # a text has a word at least, and texts that say nothing have one blank, which the next sum must not take
-                    ends = split.offsets.to_numpy()[1:][said] - split.offsets.to_numpy()[0]
-                    cuts = np.stack([first, ends], 1).ravel()
-                    s = np.add.reduceat(np.vstack([logp, np.zeros((1, logp.shape[1]))]), cuts, axis=0)[::2] + model.prior
+                if said.any():
+                    cuts = np.stack([at[:-2][said], at[1:-1][said]], 1).ravel()
+                    s = np.add.reduceat(logp, cuts, axis=0)[::2] + model.prior
                     best = s.argmax(1)
                     pred[said] = [model.langs[k] for k in best]
                     score[said] = 1 / np.exp(s - s[np.arange(len(best)), best][:, None]).sum(1)

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import extended_schema, map_arrow, read_table, stored, sub_batches, texts, with_columns, workers_import
+from .common import (extended_schema, map_arrow, read_table, stored, sub_batches, texts, with_columns, worker_stores,
+                     workers_import)
 from .suffixes import common, decoded, front_code, merged
 
 LENGTH = 400
@@ -51,6 +52,7 @@ OUT = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint",
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
+worker_stores["repeats"] = _powers.clear
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,6 +379,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     hot = spark.sparkContext.broadcast(blocks.bloom(met.filter(F.col("n") >= HOT).select("h"), BLOOM_BITS - 4))
     parts = max(1, total * int(1.5 * length) // GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = stored(map_arrow(docs, _runs(length, parts, again, hot), RUN_SCHEMA), "runs")
+    again.destroy()     # else every worker keeps them
+    hot.destroy()
     found = runs.filter("part is not null").drop("text_key").groupBy("part").applyInArrow(
         _merge_part(length), "ctx bigint, offsets binary")
     places = map_arrow(runs.filter("text_key is not null").select("text_key", "info", "ctx"), _places,
