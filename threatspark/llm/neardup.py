@@ -168,17 +168,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         found = stored(found.groupBy("uid", "root").agg(F.sum("n").alias("n")), "links")
     comp = stored(components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))), "comps")
     links = found.groupBy("uid").agg(F.sum("n").alias("others"))
-    # what a member's rows share, in pieces, as a third of all rows may be one member
+    # rows find their member: copies by label and vector, in pieces, as a third of all rows may be one member; others are it
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    of_member = (members.join(comp.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
-                 .select("label", "vec", F.coalesce("comp", "uid").alias("comp"),
-                         (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), salts.alias("salt")))
-    linked = (coded.select("uid", "label", "vec", F.pmod("uid", F.lit(SALTS).cast("bigint")).alias("salt"))
-              .join(of_member, ["label", "vec", "salt"]).select("uid", "comp", "n_links"))
+    piece = F.pmod("uid", F.lit(SALTS).cast("bigint"))
+    copies = members.filter("n > 1").select("label", "vec", F.col("uid").alias("member"), salts.alias("salt"))
+    of_row = (coded.select("uid", "label", "vec", piece.alias("salt")).join(copies, ["label", "vec", "salt"], "left")
+              .select("uid", F.coalesce("member", "uid").alias("member"),
+                      F.when(F.col("member").isNull(), 0).otherwise(F.col("salt")).cast("bigint").alias("salt")))
+    told = (members.select("uid", "n").join(comp.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
+            .select(F.col("uid").alias("member"), F.coalesce("comp", "uid").alias("comp"),
+                    (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                    F.explode(F.expr(f"sequence(0L, if(n > 1, {SALTS - 1}L, 0L))")).alias("salt")))
+    linked = of_row.join(told, ["member", "salt"]).select("uid", "comp", "n_links")
     of_row = stored(rows.select("uid", "vec_id").join(linked, "uid", "left"), "of_row")
     least = of_row.filter("comp is not null").groupBy("comp").agg(F.min("vec_id").alias("low"))
-    pieces = F.pmod("uid", F.lit(SALTS).cast("bigint"))
-    return (of_row.withColumn("salt", pieces).join(least.withColumn("salt", salts), ["comp", "salt"], "left")
+    return (of_row.withColumn("salt", piece).join(least.withColumn("salt", salts), ["comp", "salt"], "left")
             .select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     F.when(F.col("comp").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
