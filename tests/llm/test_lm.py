@@ -105,3 +105,79 @@ def test_rare_phrase_in_a_large_table(spark):
     from xxhash import xxh3_64_intdigest
     want = reference_score(tree, lambda t: number.get(xxh3_64_intdigest((t or "").encode()), -1), counts, rows[-1][1])
     assert out[200].score == pytest.approx(want, rel=1e-9)
+
+
+def grown(rows):
+    """The tree by the rules alone, with plain dictionaries: ({context: (rest, {symbol: share})}, {contexts near the edge of the test})."""
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for text, train in rows:
+        if train:
+            seq = tokens(text)
+            for i, t in enumerate(seq):
+                c1[t] += 1
+                c2[seq[i - 1] if i else None, t] += 1
+                if i > 1:
+                    c3[seq[i - 2], seq[i - 1], t] += 1
+    n, v = sum(c1.values()), len(c1)
+    nodes, edge = {}, set()
+
+    def above(ctx, t):
+        """The distribution of the next shorter context that is a node, or the root."""
+        p = (c1[t] + 1) / (n + v + 1)
+        for k in range(1, len(ctx) + 1):
+            got = nodes.get(ctx[len(ctx) - k:])
+            if got:
+                p = p * got[0] + got[1].get(t, 0)
+        return p
+
+    def tested(ctx, total, symbols):
+        kl, low, seen = 0.0, 0.0, sum(symbols.values())
+        for t, k in symbols.items():
+            q = above(ctx[1:], t)
+            kl += k / total * math.log(k / total / q)
+            low += q
+        if total > seen:
+            kl += (total - seen) / total * math.log((total - seen) / total / max(1 - low, 1e-12))
+        cost = 0.5 * len(symbols) * math.log(max(total, 2))
+        if abs(total * kl - cost) < 1e-3 * cost:
+            edge.add(ctx)
+        if total * kl > cost:
+            return (total - seen + lm.DISCOUNT * len(symbols)) / total, {t: (k - lm.DISCOUNT) / total for t, k in symbols.items()}
+        return None
+    for depth, counts in ((1, c2), (2, c3)):
+        found = {}
+        for key, k in counts.items():
+            if k >= 2 and (depth == 1 or c2[key[1:]] >= 2):
+                found.setdefault(key[:-1], {})[key[-1]] = k
+        for ctx, symbols in found.items():
+            total = c1[ctx[0]] if depth == 1 else c2[ctx]
+            got = tested(ctx, total, symbols) if total >= 2 else None
+            if got:
+                nodes[ctx] = got
+    return nodes, edge, above
+
+
+def test_tree_against_brute_force(spark):
+    from xxhash import xxh3_64_intdigest
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(150).collect()
+    rows = [(r.doc_id, r.text) for r in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    out = {r.doc_id: r for r in lm.fit_and_score(df.repartition(4), F.col("doc_id") % 3 != 0, out=got).collect()}
+    nodes, edge, above = grown([(t, k % 3 != 0) for k, t in rows])
+    tree = got[0]
+    place = {int(h): i for i, h in enumerate(tree.words)}
+    number = lambda t: place.get(xxh3_64_intdigest((t or "").encode()), -1)
+    for d in (1, 2):
+        want = {number(c[0]) if d == 1 else number(c[0]) * len(tree.words) + number(c[1]): c for c in nodes if len(c) == d}
+        have = set(tree.ctx[d - 1].tolist())
+        assert len(want) > 20 and {c for k, c in want.items() if k not in have} <= edge
+        sure = [k for k in have if k in want]
+        assert len(have) - len(sure) <= len(edge)
+        rest = dict(zip(tree.ctx[d - 1].tolist(), tree.rest[d - 1].tolist(), strict=True))
+        assert all(rest[k] == pytest.approx(nodes[want[k]][0]) for k in sure)
+    if not edge:
+        for k, text in rows:
+            seq = tokens(text)
+            score = sum(math.log10(above(tuple(seq[max(0, i - 2):i]) if i > 1 else (seq[0],) if i else (None,), t)) for i, t in enumerate(seq))
+            assert out[k].score == pytest.approx(score, rel=1e-9)
