@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.csv as csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def block(text: bytes, attributes: list[Attribute], drop: bool) -> pa.RecordBatc
                              parse_options=csv.ParseOptions(quote_char=quote, double_quote=False, ignore_empty_lines=True),
                              convert_options=csv.ConvertOptions(column_types=schema, null_values=["?"], strings_can_be_null=True,
                                                                 quoted_strings_can_be_null=False))
-            cols = [pa.compute.utf8_trim_whitespace(c) if not quote and pa.types.is_string(c.type) else c for c in t.columns]
+            cols = [pc.utf8_trim_whitespace(c) if not quote and pa.types.is_string(c.type) else c for c in t.columns]
             got = pa.table(cols, schema=schema).combine_chunks().to_batches()
             return got[0] if got else None
         except pa.ArrowInvalid:
