@@ -98,7 +98,7 @@ def _piece_counts(vocab: str, text_col: str, lang_col: str):
             for lang, text in zip(texts(batch, lang_col), texts(batch, text_col), strict=True):
                 n_docs[lang] += 1
                 words.setdefault(lang, Counter()).update((text or "").split())
-                if len(words[lang]) > FLUSH_WORDS:
+                if sum(map(len, words.values())) > FLUSH_WORDS:
                     flush()
         flush()
         for lang, own in counts.items():
