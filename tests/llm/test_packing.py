@@ -1,7 +1,9 @@
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -69,3 +71,15 @@ def test_edge_rows(spark, scratch):
 def test_latin_words_as_whole_text(text):
     b = packing.encode_texts([text], PATH)[0]
     assert [*struct.unpack(f"<{len(b) // 4}I", b), 2] == brute(text)
+
+
+def test_small_stores_give_the_same_ids():
+    texts = pa.array([f"word{k} Ünïcode-{k} it's {k * 7919} {'x' * (k % 90)}" for k in range(300)] * 2)
+    packing._empty()
+    want, at = packing.encode_column(texts, PATH)
+    packing._empty()
+    parts = [packing.encode_column(texts.slice(a, 50), PATH, (40, 20)) for a in range(0, 600, 50)]
+    assert np.concatenate([p for p, _ in parts]).tolist() == want.tolist()
+    assert sum(len(a) - 1 for _, a in parts) == len(at) - 1
+    assert all(len(s.slot) <= 400 for s in packing._tokenizer(PATH)[1:3])     # a batch's own at most
+    packing._empty()

@@ -140,7 +140,7 @@ def _bounded(store: Words, most: int, used: list[str], new: list[str]) -> None:
         store.keep([w for w in (used if full else store.slot) if len(w) <= STORE_CHARS])
 
 
-def _learn(miss: list[str], words: Words, parts: Words, t, ends: np.ndarray) -> None:
+def _learn(miss: list[str], words: Words, parts: Words, t, ends: np.ndarray, most: int) -> None:
     """Adds words to the store: plain ones by their pre-tokens, which many words share, the others whole."""
     odd = pc.match_substring_regex(pa.array(miss, pa.string()), NOT_PLAIN).to_numpy(zero_copy_only=False).tolist()
     whole = [w for w, x in zip(miss, odd, strict=True) if x]
@@ -156,12 +156,14 @@ def _learn(miss: list[str], words: Words, parts: Words, t, ends: np.ndarray) ->
     letters = np.cumsum(pc.utf8_length(pa.array(plain, pa.string())).to_numpy().astype(np.int64))
     last = np.searchsorted(np.cumsum(pc.utf8_length(pre).to_numpy().astype(np.int64)), letters, side="right")
     words.add(plain, ids, np.diff(at[last], prepend=0))
-    _bounded(parts, STORE_PARTS, distinct, new)
+    _bounded(parts, most, distinct, new)
 
 
-def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(texts: pa.Array, path: str, store: tuple[int, int] = (STORE_WORDS, STORE_PARTS)) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, one after the other; where each text's begin and the last one's end).
 
+    ``store``: words and pre-tokens that the worker remembers; fewer take less memory and more time, the ids are the same.
+
     ASCII white space is white space to the tokenizer too; any other stays inside its word, which goes to the tokenizer whole.
     """
     t, words, parts, ends = _tokenizer(path)
@@ -170,10 +172,10 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     distinct = _strings(coded.dictionary)
     miss = [w for w in distinct if w not in words.slot]
     if miss:
-        _learn(miss, words, parts, t, ends)
+        _learn(miss, words, parts, t, ends, store[1])
     ids, at = words.gathered(words.slots(distinct)[coded.indices.to_numpy()])
     offsets = split.offsets.to_numpy().astype(np.int64)
-    _bounded(words, STORE_WORDS, distinct, miss)
+    _bounded(words, store[0], distinct, miss)
     return ids, at[offsets - offsets[0]]
 
 
@@ -199,8 +201,10 @@ def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
 
 
 def pack(df: DataFrame, text_col: str = "text", path: str | None = None, end_id: int = END_ID,
-         longest: int = LONGEST) -> DataFrame:
-    """One row per piece: ``df``'s other columns, start, length, ids, doc_tokens, sequence_id, offset."""
+         longest: int = LONGEST, store: tuple[int, int] = (STORE_WORDS, STORE_PARTS), batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per piece: ``df``'s other columns, start, length, ids, doc_tokens, sequence_id, offset.
+
+    ``store`` (as in ``encode_column``) and ``batch_bytes`` bound a worker's memory."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = path or public_tokenizers.path(VOCAB)
@@ -210,8 +214,8 @@ def pack(df: DataFrame, text_col: str = "text", path: str | None = None, end_id:
 
     def run(batches):
         for whole in batches:
-            for batch in sub_batches(whole, text_col, BATCH_BYTES):
-                packed, at = encode_column(batch.column(batch.schema.get_field_index(text_col)), path)
+            for batch in sub_batches(whole, text_col, batch_bytes):
+                packed, at = encode_column(batch.column(batch.schema.get_field_index(text_col)), path, store)
                 packed = np.insert(packed, at[1:], end_id).astype("<u4")        # an end after each text
                 row, start, length = [], array("q"), array("q")
                 for k, n in enumerate((np.diff(at) + 1).tolist()):
