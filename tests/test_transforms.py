@@ -33,6 +33,37 @@ def test_quantile_transform_matches_two_sided_rule(spark):
     assert np.all(np.diff(got[order]) >= -1e-12)          # monotone
 
 
+def test_quantile_transform_stays_small_code(spark):
+    """Edge values of several features; of many features no generated method outgrows what the JVM compiles."""
+    knots = {"a": [-1.0, 0.0, 2.0, 4.0], "b c": [0.0, 3.0], "d": [5.0]}
+    lo = {"a": [0.0, 0.2, 0.6, 1.0], "b c": [0.0, 0.75], "d": [0.0]}
+    hi = {"a": [0.0, 0.4, 0.6, 1.0], "b c": [0.25, 1.0], "d": [1.0]}
+    m = T.QuantileModel(["a", "b c", "d", "gone"], knots, lo, hi)
+    inf, nan = float("inf"), float("nan")
+    xs = [None, nan, -inf, inf, -1.0, -0.5, 0.0, -0.0, 1.0, 2.0, 3.0, 4.0, 9.0]
+    df = spark.createDataFrame([(i, x, x, x, "k") for i, x in enumerate(xs)], "id int, a double, `b c` double, d double, k string")
+    out = m.transform(df)
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.orderBy("id").select("a", "`b c`", "d").collect()]
+    third = 0.25 + 0.5 / 3
+    assert [g[0] for g in got] == [None, None, 0.0, 1.0, 0.0, pytest.approx(0.1), pytest.approx(0.3), 0.2,
+                                   pytest.approx(0.5), pytest.approx(0.6), pytest.approx(0.8), 1.0, 1.0]
+    assert [g[1] for g in got] == [None, None, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, pytest.approx(third), pytest.approx(0.25 + 1 / 3), 1.0, 1.0, 1.0]
+    assert [g[2] for g in got] == [None, None, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    names = [f"c{i}" for i in range(12)]
+    knots = [float(i) for i in range(1000)]
+    wide = T.QuantileModel(names, {n: knots for n in names}, {n: T.quantile_refs(1000) for n in names}, {n: T.quantile_refs(1000) for n in names})
+    rows = wide.transform(spark.range(10).select(*[F.col("id").cast("double").alias(n) for n in names]))
+    for d in (rows, rows.where("c0 + c1 > 0.5")):
+        assert all(c._3().maxMethodCodeSize() < 8000 for c in parts(d))
+
+
+def parts(df):
+    """The pieces of generated code of a plan."""
+    found = df._jdf.queryExecution().debug().codegenToSeq()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_quantile_nulls_and_save_load(spark, scratch):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0)], "id long, x double")
     qm = T.QuantileModel.fit(df, ["x"], ["id"], n_quantiles=1000)

@@ -151,7 +151,7 @@ class QuantileScaleModel(_Fitted):
         return QuantileModel(got["features"], got["knots"], got["lo"], got["hi"])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self.model().transform(df)
+        return self.model().transform(df, compact=True)      # earlier stages compute its columns
 
 
 def flow_stages(label: str = "Label", keep: Sequence[str] = (), identifiers: Sequence[str] = C.FLOW_IDENTIFIERS_SCORING,
