@@ -85,3 +85,41 @@ def test_scoring_stream(spark, scratch):
     scores = spark.read.parquet(f"{scratch}/out/scores")
     assert scores.count() == 20 and scores.where("p IS NULL").count() == 0
     assert spark.read.parquet(f"{scratch}/out/errors").count() == 1
+
+
+class CountedModel:
+    """Gives every row a probability and counts the rows it has scored."""
+
+    def __init__(self, made):
+        self.made = made
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        made = self.made
+
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+        rows, x = df.mapInArrow(run, df.schema), F.coalesce("x", F.lit(float("nan")))
+        return rows.withColumn("probability", array_to_vector(F.array(1 - x, x)))
+
+
+def test_scoring_stream_scores_each_row_once(spark, scratch):
+    from threatspark.plans.flow import FlowState
+    from threatspark.streaming.scoring import run_scoring_stream
+    src = f"{scratch}/req"
+    os.makedirs(src)
+    with open(f"{src}/a.json", "w") as f:
+        for i in range(40):
+            f.write(json.dumps({"row_id": i, "x": None if i % 10 == 3 else i / 40}) + "\n")
+        f.write("{not json\n")
+    schema = spark.createDataFrame([], "row_id long, x double").schema
+    made = spark.sparkContext.accumulator(0)
+    run_scoring_stream(spark, src, f"{scratch}/out", f"{scratch}/ck", schema, FlowState(features=["x"]),
+                       CountedModel(made)).awaitTermination()
+    assert made.value == 40
+    scores = {r.row_id: (r.p, r.decision) for r in spark.read.parquet(f"{scratch}/out/scores").collect()}
+    assert scores == {i: (i / 40, int(i > 20)) for i in range(40) if i % 10 != 3}
+    errors = sorted((str(r.row_id), r._corrupt_record) for r in spark.read.parquet(f"{scratch}/out/errors").collect())
+    assert errors == [("13", None), ("23", None), ("3", None), ("33", None), ("None", "{not json")]

@@ -50,18 +50,20 @@ def run_scoring_stream(spark: SparkSession, src: str, out: str, checkpoint: str,
         # parsed once for both outputs (Spark also refuses queries that read
         # only the corrupt-record column straight from the raw files)
         batch = batch.persist()
+        # scored once too: a filter on a score would be pushed down to the rows and evaluate it again
+        good = score_requests(batch, state, model, keep).select(*keep, "p", "decision").persist()
         try:
-            good = score_requests(batch, state, model, keep)
             # a row that cannot be scored (null or NaN probability) has no decision
-            good = good.withColumn("_scored", F.col("p").isNotNull() & ~F.isnan("p"))
-            good.where("_scored").select(*keep, "p", "decision").withColumn("batch_id", F.lit(batch_id)) \
+            scored = F.col("p").isNotNull() & ~F.isnan("p")
+            good.where(scored).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("overwrite").parquet(f"{out}/scores/batch_id={batch_id}")
             bad = batch.where(F.col("_corrupt_record").isNotNull()).select(
                 *[F.lit(None).cast(batch.schema[k].dataType).alias(k) for k in keep], "_corrupt_record")
-            unscored = good.where(~F.col("_scored")).select(
+            unscored = good.where(~scored).select(
                 *keep, F.lit(None).cast("string").alias("_corrupt_record"))
             bad.unionByName(unscored).write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
         finally:
+            good.unpersist()
             batch.unpersist()
 
     w = req.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
