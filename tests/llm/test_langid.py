@@ -1,8 +1,10 @@
 import itertools
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threatspark.llm import langid
@@ -92,3 +94,29 @@ def test_runs_of_unseen_characters(model):
     got = langid.forward(words, unseen)
     for w, row in zip(words, got, strict=True):
         assert row == pytest.approx([log_sum(w, unseen, k) for k in range(len(model.langs))], rel=1e-9)
+
+
+def test_learning_segments_words_in_bounded_calls(model, monkeypatch):
+    sp, *rest = langid._processor(model.vocab)
+    asked = []
+
+    class Recorder:
+        def encode(self, words, **kw):
+            asked.append(len(words))
+            return sp.encode(words, **kw)
+
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+    own = [f"word{i}" for i in range(30_000)]
+    rows = [(" ".join(own[:20_000]), "en"), (" ".join(own[10_000:]), "en"), (None, "en"), ("le mot", "fr")]
+    batch = pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "lang": [x for _, x in rows]})
+    monkeypatch.setattr(langid, "_processor", lambda path: (Recorder(), *rest))
+    got = {}
+    for b in langid._piece_counts(model.vocab, "text", "lang")([batch]):
+        got |= {(r["lang"], r["piece"]): r["n"] for r in b.to_pylist()}
+    want = Counter((x, -1) for _, x in rows)
+    for t, x in rows:
+        want.update((x, i) for w in (t or "").split() for i in sp.encode(w))
+    assert got == want
+    assert max(asked) <= langid.ROWS

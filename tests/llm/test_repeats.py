@@ -100,3 +100,20 @@ def test_hot_block_is_dealt_over_partitions():
     found = [h for t in rows.column(0).to_pylist() for h in repeats.anchors(t.encode(), 60)[1].tolist()]
     block = max(set(found), key=found.count)
     assert dealt.get(block % (1 << 20), 0) < found.count(block)
+
+
+def test_untouched_rows_take_one_worker_a_task(spark):
+    def chained(node, above=False):
+        """Whether a MapInArrow feeds another one without a join between."""
+        arrow, nodes = node.nodeName() == "MapInArrow", node.children()
+        above = node.nodeName() != "Join" and (arrow or above)
+        own = [nodes.apply(i) for i in range(nodes.size())]
+        return any((above and n.nodeName() == "MapInArrow") or chained(n, above) for n in own)
+
+    shared = "x" * 100 + " ".join(str(i) for i in range(200))
+    values = [shared, "a" + shared, "nothing of this occurs again " * 3, None, "", shared]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    out = repeats.remove_repeats(df)
+    assert not chained(out._jdf.queryExecution().optimizedPlan())
+    rows = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in rows] == brute(values, 400)

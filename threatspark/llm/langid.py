@@ -40,12 +40,12 @@ MARK = "▁"
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MIX = 0.05            # weight of the all-language distribution
-BATCH_BYTES = 4 << 20  # of text scored at a time
-FLUSH_WORDS = 200_000  # distinct words held before they are segmented
+BATCH_BYTES = 2 << 20  # of text learnt from or scored at a time
+FLUSH_WORDS = 100_000  # distinct words held before they are segmented
 MODEL_BYTES = 1 << 28  # largest model that is broadcast
 RESCALE = 16
 ROWS, ROW_LETTERS = 8_192, 1 << 20    # words, and characters of words, summed at a time
-STORE_WORDS, STORE_CHARS = 300_000, 64    # words that a worker keeps, and their most characters
+STORE_WORDS, STORE_CHARS = 200_000, 64    # words that a worker keeps, and their most characters
 TINY = 1e-200         # forward value below which a word is summed in log space
 
 _pieces: dict[str, tuple] = {}
@@ -87,19 +87,22 @@ def _piece_counts(vocab: str, text_col: str, lang_col: str):
         def flush():
             for lang, c in words.items():
                 own = counts.setdefault(lang, np.zeros(sp.get_piece_size()))
-                if c:
-                    ids = sp.encode(list(c), num_threads=1)
-                    n = np.fromiter(c.values(), np.int64, len(c))
+                held = list(c)
+                for a in range(0, len(held), ROWS):
+                    part = held[a:a + ROWS]
+                    ids = sp.encode(part, num_threads=1)
+                    n = np.fromiter(map(c.__getitem__, part), np.int64, len(part))
                     flat = np.concatenate([np.asarray(x, np.int64) for x in ids])
                     own += np.bincount(flat, np.repeat(n, [len(x) for x in ids]), len(own))
             words.clear()
 
-        for batch in batches:
-            for lang, text in zip(texts(batch, lang_col), texts(batch, text_col), strict=True):
-                n_docs[lang] += 1
-                words.setdefault(lang, Counter()).update((text or "").split())
-                if sum(map(len, words.values())) > FLUSH_WORDS:
-                    flush()
+        for whole in batches:
+            for batch in sub_batches(whole, text_col, BATCH_BYTES):
+                for lang, text in zip(texts(batch, lang_col), texts(batch, text_col), strict=True):
+                    n_docs[lang] += 1
+                    words.setdefault(lang, Counter()).update((text or "").split())
+                    if sum(map(len, words.values())) > FLUSH_WORDS:
+                        flush()
         flush()
         for lang, own in counts.items():
             at = np.flatnonzero(own)
