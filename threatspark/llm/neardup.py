@@ -20,6 +20,9 @@ non-finite components or an infinite square sum, and rows with a null label, lin
 is a vector of its own, so repeated rows link with each other and each is returned;
 a component's id is its smallest non-null vec_id; ties cannot arise; other
 columns are ignored; an empty table gives no rows.
+
+Joins of tables that grow with the rows are merge joins (``MERGE``): Spark judges a stored table by its compressed files, and neither
+they nor a table before ``explode`` tell how large a broadcast of it would be on the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import itq
-from .common import map_arrow, read_table, stored
+from .common import MERGE, map_arrow, read_table, stored
 from .graph import components
 
 COSINE = 0.93
@@ -129,11 +132,13 @@ def _met(members: DataFrame, turn: int, radius: int) -> DataFrame:
     on = ((F.col("a.label") == F.col("b.label")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key"))
           & (F.col("a.code") < F.col("b.code"))
           & (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= radius))
-    pairs = (a.join(b, on).select("a.label", F.col("a.code").alias("a_code"), F.col("b.code").alias("b_code"))
+    pairs = (a.join(b.hint(MERGE), on).select("a.label", F.col("a.code").alias("a_code"), F.col("b.code").alias("b_code"))
              .distinct())
     alone = nodes.filter("size > 1").select("label", F.col("code").alias("a_code"), F.col("code").alias("b_code"))
-    dealt = (coded.join(nodes, ["label", "code"])
-             .withColumn("block", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / BLOCK_ROWS)))
+    # codes of several blocks, a row for each BLOCK_ROWS rows at most; the others are one block
+    large = nodes.filter(F.col("size") > BLOCK_ROWS)
+    dealt = (coded.join(large, ["label", "code"], "left")
+             .withColumn("block", F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / BLOCK_ROWS)), F.lit(0).cast("bigint")))
              .groupBy("label", "code", "block").agg(F.collect_list(F.struct("uid", "n", "codes", "vec")).alias("m")))
     dealt = stored(dealt, "members")
     left, right = (dealt.select("label", F.col("code").alias(f"{s}_code"), F.col("block").alias(f"{s}_block"), F.col("m").alias(s))
@@ -172,17 +177,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
     piece = F.pmod("uid", F.lit(SALTS).cast("bigint"))
     copies = members.filter("n > 1").select("label", "vec", F.col("uid").alias("member"), salts.alias("salt"))
-    of_row = (coded.select("uid", "label", "vec", piece.alias("salt")).join(copies, ["label", "vec", "salt"], "left")
+    of_row = (coded.select("uid", "label", "vec", piece.alias("salt")).join(copies.hint(MERGE), ["label", "vec", "salt"], "left")
               .select("uid", F.coalesce("member", "uid").alias("member"),
                       F.when(F.col("member").isNull(), 0).otherwise(F.col("salt")).cast("bigint").alias("salt")))
-    told = (members.select("uid", "n").join(comp.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
+    told = (members.select("uid", "n").join(comp.withColumnRenamed("node", "uid").hint(MERGE), "uid", "left")
+            .join(links.hint(MERGE), "uid", "left")
             .select(F.col("uid").alias("member"), F.coalesce("comp", "uid").alias("comp"),
                     (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                     F.explode(F.expr(f"sequence(0L, if(n > 1, {SALTS - 1}L, 0L))")).alias("salt")))
-    linked = of_row.join(told, ["member", "salt"]).select("uid", "comp", "n_links")
-    of_row = stored(rows.select("uid", "vec_id").join(linked, "uid", "left"), "of_row")
+    linked = of_row.join(told.hint(MERGE), ["member", "salt"]).select("uid", "comp", "n_links")
+    of_row = stored(rows.select("uid", "vec_id").join(linked.hint(MERGE), "uid", "left"), "of_row")
     least = of_row.filter("comp is not null").groupBy("comp").agg(F.min("vec_id").alias("low"))
-    return (of_row.withColumn("salt", piece).join(least.withColumn("salt", salts), ["comp", "salt"], "left")
+    return (of_row.withColumn("salt", piece).join(least.withColumn("salt", salts).hint(MERGE), ["comp", "salt"], "left")
             .select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     F.when(F.col("comp").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
