@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
-from threatspark.llm import neardup
+from pyspark.sql import functions as F
+
+from threatspark.llm import neardup, negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -21,9 +23,9 @@ def broadcast_sides(df):
 
 @pytest.fixture
 def plans(monkeypatch):
-    """Plans of all tables that the operator writes."""
+    """Plans of all tables that the two operators write."""
     seen = []
-    for module in (neardup,):
+    for module in (neardup, negatives):
         for name in ("stored", "stored_at"):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, lambda df, at, f=getattr(module, name): (seen.append(df), f(df, at))[1])
@@ -45,6 +47,13 @@ def test_neardup_broadcasts_no_exploded_side(spark, plans):
     assert got[40] == 0 and got[20] == 9 and got[39] == got[3] == 10
 
 
+def test_negatives_broadcast_no_packed_anchors(spark, plans):
+    out, _ = negatives.mine(rows(spark), F.col("vec_id") % 7 == 0)
+    sides = [s for df in [*plans, out] for s in broadcast_sides(df)]
+    assert plans and not [s for s in sides if "Generate" in s or "collect_list" in s]
+    assert out.count()
+
+
 def test_codes_of_many_members_are_dealt_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
     members = spark.createDataFrame([(i, 1, 1, [5 if i < 10 else 100 + i], b"x") for i in range(14)],

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_arrow, read_table, stored, stored_at
+from .common import MERGE, drop_path, map_arrow, read_table, stored, stored_at
 from .ints import dimension, integers, products
 
 SCALE = 256
@@ -286,7 +286,7 @@ class MultiIndex:
             known = (found.groupBy("aid", "w").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last"))
                      .filter(F.col("n") >= keep).groupBy("aid")
                      .agg(F.map_from_entries(F.collect_list(F.struct("w", "last"))).alias("known")))
-            state = anchors.join(known, "aid", "left")
+            state = anchors.join(known.hint(MERGE), "aid", "left")
             if windows:
                 least = F.array_min(F.transform("edges", lambda e, k: F.greatest(e["low"], F.try_element_at("known", k.cast("bigint")))))
             else:
@@ -298,7 +298,8 @@ class MultiIndex:
             if count:
                 packed = visits.groupBy("i", "j", "chunk").agg(
                     F.collect_list(F.struct("aid", "lab", "vec", "least", "edges")).alias("anchors"))
-                hits = map_arrow(self.blocks.join(packed, ["i", "j"]).select("anchors", "recs"),
+                # the stored visits name each anchor's vector once a file, so their size tells nothing of what a broadcast would take
+                hits = map_arrow(self.blocks.join(packed.hint(MERGE), ["i", "j"]).select("anchors", "recs"),
                                  _met(self.dim, self.keep, keep, windows), kind)
                 new, at = stored_at(found.union(hits).withColumn("_r", F.row_number().over(best))
                                     .filter(F.col("_r") <= keep).drop("_r"), "found")
@@ -344,19 +345,19 @@ def mine(df: DataFrame, is_anchor: Column, id_col: str = "vec_id", vec_col: str
             f" 'high', cast(p.score as decimal(20,0)) * {high} div 100)")
     none = f"named_struct('low', {NO_WINDOW['low']}L, 'high', cast('{NO_WINDOW['high']}' as bigint))"
     edges = F.expr(f"transform(transform(pos, p -> if(p.score < 0, {none}, {ends})), e -> if(e.low > e.high, {none}, e))")
-    asked = stored(anchors.join(pos, "aid").withColumn("edges", edges), "windows")
+    asked = stored(anchors.join(pos.hint(MERGE), "aid").withColumn("edges", edges), "windows")
     neg = index.search(asked.drop("pos"), negatives, True)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))),
                           lambda n: F.struct((-n["s"]).alias("score"), n["vec_id"].alias("vec_id")))
     neg = (neg.groupBy("aid", "w").agg(ordered.alias("negs")).groupBy("aid")
            .agg(F.map_from_entries(F.collect_list(F.struct("w", "negs"))).alias("negs")))
-    found = asked.select("aid", "pos").join(neg, "aid").withColumn(
+    found = asked.select("aid", "pos").join(neg.hint(MERGE), "aid").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
 
     itself = F.array_position(F.transform("pos", lambda p: F.struct(p["score"], p["vec_id"])), F.struct(F.col("own_score").alias("score"), "vec_id"))
     others = F.slice(F.filter("pos", lambda p, k: k + 1 != F.col("itself")), 1, positives)
     out = (own.select("vec_id", "aid", "own_score", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"))
-           .join(found, ["aid", "salt"]).withColumn("itself", itself).select("vec_id", "negs", F.explode(others).alias("p"))
+           .join(found.hint(MERGE), ["aid", "salt"]).withColumn("itself", itself).select("vec_id", "negs", F.explode(others).alias("p"))
            .select("vec_id", "p", F.posexplode(F.try_element_at("negs", F.col("p.w").cast("bigint"))).alias("at", "n"))
            .select(F.col("vec_id").alias("anchor_id"), F.col("p.vec_id").alias("positive_id"),
                    (F.col("at") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("negative_id"),
